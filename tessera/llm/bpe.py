@@ -24,7 +24,7 @@ from .common import map_arrow, strings
 
 _NONE = 1 << 62
 #: Pre-tokens that a process remembers; then it starts anew. Long ones are not remembered.
-CACHE, CACHE_LENGTH = 600_000, 48
+CACHE, CACHE_LENGTH = 900_000, 32
 
 
 class Codec:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +20,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python, once for each application: they may not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tessera_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        at = os.path.join(sc._temp_dir, package.name)
+        sc.addPyFile(shutil.make_archive(at, "zip", package.parent, package.name))
+        sc._tessera_shipped = True
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over small batches."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 

@@ -28,8 +28,24 @@ from .common import map_arrow, strings, written
 from .resync import tokenizer
 
 #: Words that a process remembers; then it starts anew. Long ones are not remembered.
-CACHE, CACHE_LENGTH = 400_000, 40
+CACHE, CACHE_LENGTH = 1_000_000, 32
 _by_file: dict[str, dict[str, bytes]] = {}
+#: Stands between words that are encoded in one call: a pre-token and an id of its own.
+_BETWEEN = "\x01"
+
+
+def _encode_new(words: list[str], file: str) -> dict[str, bytes]:
+    """ids of words without blanks, many to a call."""
+    tok, out = tokenizer(file), {}
+    mark = tok.encode(_BETWEEN, add_special_tokens=False).ids
+    plain = [w for w in words if _BETWEEN not in w] if len(mark) == 1 else []
+    groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+    for ws, e in zip(groups, tok.encode_batch_fast([f" {_BETWEEN} ".join(ws) for ws in groups], add_special_tokens=False), strict=True):
+        ids = np.asarray(e.ids, "<u4")
+        raw, at = ids.tobytes(), [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+        out |= {w: raw[4 * a + 4 : 4 * b] for w, a, b in zip(ws, at[:-1], at[1:], strict=True)}
+    rest = words if not plain else [w for w in words if _BETWEEN in w]
+    return out | {w: np.asarray(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in rest}
 
 
 def _ids(texts: list[str], file: str) -> list[bytes]:
@@ -38,17 +54,18 @@ def _ids(texts: list[str], file: str) -> list[bytes]:
     This tokenizer drops white space and never joins across it, so a text's ids are those of its words in order; each
     word is encoded when the process first meets it.
     """
-    tok, known = tokenizer(file), _by_file.setdefault(file, {})
+    known = _by_file.setdefault(file, {})
     if len(known) > CACHE:
         known.clear()
     words = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*words).difference(known))
-    known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True))
-    out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-    for w in new:
-        if len(w) > CACHE_LENGTH:
-            del known[w]
-    return out
+    found = [list(map(known.get, ws)) for ws in words]
+    gaps = [[i for i, x in enumerate(xs) if x is None] if None in xs else [] for xs in found]
+    fresh = _encode_new(list({ws[i] for ws, g in zip(words, gaps, strict=True) for i in g}), file)
+    known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
+    for ws, xs, g in zip(words, found, gaps, strict=True):
+        for i in g:
+            xs[i] = fresh[ws[i]]
+    return [b"".join(xs) for xs in found]
 
 
 def pieces(docs: DataFrame, file: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
