@@ -57,8 +57,9 @@ def best_per_record(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).drop("rk")
 
 
-def variant_rescue(records: DataFrame, weights: DataFrame, affected: Column = F.col("name_native"), k: int = 1, min_addr_cos: float = 0.05) -> DataFrame:
-    """Affected records with the S1 of the same spelling-variant name key, the best k by address: s1_id, cand_id, cos."""
+def variant_rescue(records: DataFrame, weights: DataFrame, affected: Column | None = None, k: int = 1, min_addr_cos: float = 0.05) -> DataFrame:
+    """Affected records (by default those in another script) with the S1 of the same spelling-variant name key, the best k by address: s1_id, cand_id, cos."""
+    affected = F.col("name_native") if affected is None else affected
     with_key = records.withColumn("vk", name_variant_key(F.col("name_core"))).filter("vk <> ''")
     a, b = sides(with_key.filter((F.col("src") == 1) | affected), "vk")
     pairs = a.join(b, ["country", "vk"]).select(PAIR)

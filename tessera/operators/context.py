@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_S1, _CAND = Window.partitionBy("s1_id"), Window.partitionBy("cand_id")
+
+def _s1():
+    return Window.partitionBy("s1_id")
+
+
+def _cand():
+    return Window.partitionBy("cand_id")
 
 
 def rank(score: str, by: str, *more: str) -> Column:
@@ -20,25 +26,25 @@ def rank(score: str, by: str, *more: str) -> Column:
 
 def of_competitor(value: str, rk: str = "_rk") -> Column:
     """The value in the competitor's row, null without one. rk: the row's rank among the record's owners."""
-    at = lambda r: F.max(F.when(F.col(rk) == r, F.col(value))).over(_CAND)
+    at = lambda r: F.max(F.when(F.col(rk) == r, F.col(value))).over(_cand())
     return F.when(F.col(rk) == 1, at(2)).otherwise(at(1))
 
 
 def margin(score: str, rk: str, without: float = 0.0) -> Column:
     """Lead over the best other owner for the best row (without one, over `without`), distance to the best for others."""
-    second = F.max(F.when(F.col(rk) != 1, F.col(score))).over(_CAND)
-    return F.when(F.col(rk) == 1, F.col(score) - F.coalesce(second, F.lit(without))).otherwise(F.col(score) - F.max(score).over(_CAND))
+    second = F.max(F.when(F.col(rk) != 1, F.col(score))).over(_cand())
+    return F.when(F.col(rk) == 1, F.col(score) - F.coalesce(second, F.lit(without))).otherwise(F.col(score) - F.max(score).over(_cand()))
 
 
 def candidate_context(pairs: DataFrame, score: str = "blk_comb") -> DataFrame:
     """pairs with the seven ctx_ columns."""
     return pairs.withColumns({
-        "ctx_n_cand": F.count("*").over(_S1),
-        "ctx_n_s1": F.count("*").over(_CAND),
+        "ctx_n_cand": F.count("*").over(_s1()),
+        "ctx_n_s1": F.count("*").over(_cand()),
         "ctx_rank_in_s1": rank(score, "s1_id"),
         "ctx_rank_in_cand": rank(score, "cand_id"),
-        "ctx_gap_s1_best": F.col(score) - F.max(score).over(_S1),
-        "ctx_gap_cand_best": F.col(score) - F.max(score).over(_CAND),
+        "ctx_gap_s1_best": F.col(score) - F.max(score).over(_s1()),
+        "ctx_gap_cand_best": F.col(score) - F.max(score).over(_cand()),
     }).withColumn("ctx_margin_cand", margin(score, "ctx_rank_in_cand"))
 
 
@@ -48,10 +54,10 @@ def prob_context(scored: DataFrame) -> DataFrame:
     return scored.withColumns({
         "p1_rank_cand": rank("prob", "cand_id"),
         "p1_rank_s1": rank("prob", "s1_id"),
-        "p1_max_s1": F.max(p).over(_S1),
-        "p1_sum_s1": F.sum(p).over(_S1),
-        "p1_n_high_s1": F.count_if(p > 0.5).over(_S1),
-        "p1_sum_cand": F.sum(p).over(_CAND),
+        "p1_max_s1": F.max(p).over(_s1()),
+        "p1_sum_s1": F.sum(p).over(_s1()),
+        "p1_n_high_s1": F.count_if(p > 0.5).over(_s1()),
+        "p1_sum_cand": F.sum(p).over(_cand()),
     }).withColumn("p1_margin_cand", margin("prob", "p1_rank_cand")).withColumn("p1_sum_s1_others", F.col("p1_sum_s1") - p)
 
 
@@ -62,7 +68,7 @@ def source_context(scored: DataFrame, sources: DataFrame) -> DataFrame:
     high = (F.col("prob") > 0.5).cast("int")
     d = scored.join(sources.select("cand_id", "src"), "cand_id", "left").withColumns({
         "p1_src_n_high_s1": F.sum(high).over(group) - high,
-        "p1_osrc_n_high_s1": F.sum(high).over(_S1) - F.sum(high).over(group),
+        "p1_osrc_n_high_s1": F.sum(high).over(_s1()) - F.sum(high).over(group),
         "_in": rank("prob", "s1_id", "src"),
         "_rk": rank("prob", "cand_id"),
     })
@@ -97,9 +103,9 @@ def _other_best(score: str, w) -> Column:
 
 def logit_context(scored: DataFrame, score: str = "ce_logit", prefix: str = "p2_ce") -> DataFrame:
     """scored with a logit's rank, gaps to the best other candidate and other owner, positive logits of the S1, owners of the record."""
-    d = scored.withColumns({f"{prefix}_rank_s1": rank(score, "s1_id"), f"{prefix}_npos_s1": F.count_if(F.col(score) > 0).over(_S1), f"{prefix}_ncl_cand": F.count("*").over(_CAND)})
-    d = d.withColumn("_place", rank(score, "s1_id")).withColumn(f"{prefix}_gap_s1", F.col(score) - _other_best(score, _S1))
-    return d.withColumn("_place", rank(score, "cand_id")).withColumn(f"{prefix}_gap_cand", F.col(score) - _other_best(score, _CAND)).drop("_place")
+    d = scored.withColumns({f"{prefix}_rank_s1": rank(score, "s1_id"), f"{prefix}_npos_s1": F.count_if(F.col(score) > 0).over(_s1()), f"{prefix}_ncl_cand": F.count("*").over(_cand())})
+    d = d.withColumn("_place", rank(score, "s1_id")).withColumn(f"{prefix}_gap_s1", F.col(score) - _other_best(score, _s1()))
+    return d.withColumn("_place", rank(score, "cand_id")).withColumn(f"{prefix}_gap_cand", F.col(score) - _other_best(score, _cand())).drop("_place")
 
 
 def log_odds(p: Column) -> Column:
@@ -112,22 +118,22 @@ def edge_group_features(scored: DataFrame, records: DataFrame, least: float = 0.
     the competitor. records: cand_id, src of the sources 2 and 3."""
     d = scored.filter(F.col("prob") >= least).withColumns({
         "lp": log_odds(F.col("prob")),
-        "r_n": F.count("*").over(_CAND),
+        "r_n": F.count("*").over(_cand()),
         "r_rank": rank("prob", "cand_id"),
-        "r_best": F.max("prob").over(_CAND),
-        "r_sum": F.sum("prob").over(_CAND),
-        "s_n": F.count("*").over(_S1),
+        "r_best": F.max("prob").over(_cand()),
+        "r_sum": F.sum("prob").over(_cand()),
+        "s_n": F.count("*").over(_s1()),
         "s_rank": rank("prob", "s1_id"),
-        "s_sum": F.sum("prob").over(_S1),
-        "s_n05": F.count_if(F.col("prob") >= 0.5).over(_S1),
+        "s_sum": F.sum("prob").over(_s1()),
+        "s_n05": F.count_if(F.col("prob") >= 0.5).over(_s1()),
     }).join(records.select("cand_id", F.col("src").alias("csrc")), "cand_id", "left")
     sure = (F.col("prob") >= 0.9) & (F.col("r_rank") == 1)
     own = sure.cast("int")
-    many = lambda s: F.count_if(sure & (F.col("csrc") == s)).over(_S1)
+    many = lambda s: F.count_if(sure & (F.col("csrc") == s)).over(_s1())
     d = d.withColumns({
-        "r_second": F.coalesce(F.max(F.when(F.col("r_rank") == 2, F.col("prob"))).over(_CAND), F.lit(0.0)),
+        "r_second": F.coalesce(F.max(F.when(F.col("r_rank") == 2, F.col("prob"))).over(_cand()), F.lit(0.0)),
         "r_margin": margin("prob", "r_rank"),
-        "sib_n": F.count_if(sure).over(_S1) - own,
+        "sib_n": F.count_if(sure).over(_s1()) - own,
         "sib_same": F.when(F.col("csrc") == 2, many(2)).otherwise(many(3)) - own,
         "sib_other": F.when(F.col("csrc") == 2, many(3)).otherwise(many(2)),
     })
@@ -139,7 +145,7 @@ def edge_group_features(scored: DataFrame, records: DataFrame, least: float = 0.
 def prototype_similarity(scored: DataFrame, texts: DataFrame, name_similarity, address_similarity) -> DataFrame:
     """For edges whose record has several owners or isn't certain (prob < 0.995): best and mean similarity of the record's name, best of its
     address, and whether its address is that of any, over the S1's other confident records. texts: cand_id, name, address."""
-    ranked = scored.withColumns({"r_n": F.count("*").over(_CAND), "r_rank": rank("prob", "cand_id")})
+    ranked = scored.withColumns({"r_n": F.count("*").over(_cand()), "r_rank": rank("prob", "cand_id")})
     sure = ranked.filter("prob >= 0.9 and r_rank = 1").select("s1_id", F.col("cand_id").alias("sib"))
     open_ = ranked.filter("r_n >= 2 or prob < 0.995").select("s1_id", "cand_id")
     own = texts.select("cand_id", F.col("name").alias("qn"), F.col("address").alias("qa"))
