@@ -5,14 +5,15 @@ nearest by distance then is the one with the largest inner product. A random rot
 coordinates, so that the squared distance over the first d of D coordinates times D / d estimates the whole one, with an error that
 shrinks as 1 / sqrt(d). Candidates are scanned in blocks of columns; after each block those whose estimate exceeds a bound
 of the query's k-th best distance by more than the error allows are abandoned; survivors get their exact inner product on the original
-vectors. The bound is the k-th best distance among ANCHORS vectors of the sample; every query is compared with all anchors, and
-its k best of them compete with what its lists hold, so that each query gets k results where there are so many candidates.
+vectors. The bound first is the k-th best distance among ANCHORS vectors of the sample; every query is compared with all anchors,
+and its k best of them compete with what its lists hold, so that each query gets k results where there are so many candidates. The
+FIRST share of a query's lists, the nearest, is scanned with this bound, and the k-th best found there is the bound of the others.
 
 Lists are the cells of centres that are fitted to a bounded sample, SAMPLE vectors; the number of lists follows the square
 root of the number of vectors, up to LISTS. Every vector is in one list. How many lists a query probes is measured: as many as
-hold the wanted share of the true nearest neighbours of sampled queries within the sample. Lists are dealt into blocks of
-about BLOCK rows and their queries likewise, and each pair of a list's block and query block is a group of its own, so
-that a list with a third of all rows is many groups of bounded size. Of each group a query's k best go on; equal scores are
+hold the wanted share of the true nearest neighbours of sampled queries within the sample. Small lists share a bin of up to BLOCK
+rows; the rows of a larger one are dealt into blocks of about that size, as are the queries of a bin. Each pair of a block and a query block is a
+group of its own, so that a list with a third of all rows is many groups of bounded size. Of each group a query's k best go on; equal scores are
 ordered by vec_id.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Of rows
@@ -26,7 +27,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,20 +34,20 @@ from pyspark.sql import functions as F
 from .common import map_arrow, ship, written
 
 #: Bounds of the fit and of the groups.
-SAMPLE, LISTS, ANCHORS, TRIALS, BLOCK, QUERY_BLOCK = 20_000, 4_096, 2_048, 256, 2_048, 512
+SAMPLE, LISTS, ANCHORS, TRIALS, BLOCK, QUERY_BLOCK = 20_000, 4_096, 2_048, 256, 2_048, 2_048
 #: Columns of a scan step, and how many standard errors above the k-th best an estimate must be to be abandoned.
 STEP, ERRORS = 16, 2.1
-_KIND = "vec_id long, v array<double>"
+#: The share of a query's lists that is scanned first, and queries that are scanned at once.
+FIRST, AT_ONCE = 0.1, 256
 
 
 @dataclass
 class Index:
-    """The rotation, the scale of norms, the lists' centres, anchors with their ids, and how many lists to probe."""
+    """The rotation, the scale of norms, the lists' centres, the anchors' ids and vectors, and how many lists to probe."""
 
     rotation: np.ndarray
     scale: float
     centres: np.ndarray
-    anchors: np.ndarray
     anchor_ids: np.ndarray
     probes: int = 1
     originals: np.ndarray | None = None
@@ -65,14 +65,6 @@ class Index:
         n = min(n, far.shape[1])
         return np.argpartition(far, n - 1, axis=1)[:, :n]
 
-    def bounds(self, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        """Of each turned query, the k-th smallest squared distance to an anchor that isn't the query itself."""
-        if len(self.anchors) <= k:
-            return np.full(len(x), np.inf)
-        far = np.maximum(0, squared(x, self.anchors))
-        far[ids[:, None] == self.anchor_ids[None]] = np.inf
-        return np.partition(far, k - 1, axis=1)[:, k - 1]
-
     def best_anchors(self, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, anchor ids and inner products of the k best anchors of each query."""
         i, j = np.nonzero(ids[:, None] != self.anchor_ids[None])
@@ -89,8 +81,9 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v: the vectors that take part, as doubles, one for each id. The length of most is the one of the most rows, the smaller in ties."""
-    v = F.col(vector_col).cast("array<double>")
+    """vec_id, v: the vectors that take part, as floats where they are, else as doubles, one for each id. The length of most is the one of the most rows, the smaller in ties."""
+    float_ = vectors.select(F.col(vector_col)).dtypes[0][1] == "array<float>"
+    v = F.col(vector_col) if float_ else F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
     fine = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).filter(F.exists("v", lambda x: x != 0))
     lengths = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -99,15 +92,15 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE, lists: int = LISTS, rounds: int = 8, seed: int = 11) -> Index | None:
     """None for an empty table. The sample is the rows with the lowest hashes of vec_id."""
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).alias("norm")).first()
     if not facts["n"]:
         return None
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    v, ids = np.stack(got["v"].to_numpy()).astype(float), got["vec_id"].to_numpy()
+    v, ids = _matrix(got["v"]), got["vec_id"].to_numpy()
     draw = np.random.default_rng(seed)
     dims = v.shape[1] + 1
     rotation = np.linalg.qr(draw.normal(size=(dims, dims)))[0]
-    index = Index(rotation, float(facts["norm"]), np.zeros((1, dims)), np.zeros((0, dims)), ids[:ANCHORS])
+    index = Index(rotation, float(facts["norm"]), np.zeros((1, dims)), ids[:ANCHORS])
     turned = index.turned(v, False)
     x = np.unique(turned, axis=0)
     n = max(1, min(lists, len(x), math.isqrt(facts["n"]) // 2))
@@ -119,7 +112,7 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
         np.add.at(sums, own, x)
         size = np.bincount(own, minlength=n)[:, None]
         centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
-    index.centres, index.anchors, index.originals = centres, turned[:ANCHORS], v[:ANCHORS]
+    index.centres, index.originals = centres, v[:ANCHORS]
     # In which place of a query's order of lists its true neighbours' lists are.
     own = np.concatenate([index.nearest(turned[a : a + 4096], 1)[:, 0] for a in range(0, len(turned), 4096)])
     q = index.turned(v[:TRIALS], True)
@@ -132,6 +125,10 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
     return index
 
 
+def _kind(rows: DataFrame) -> str:
+    return dict(rows.dtypes)["v"]
+
+
 def placed(rows: DataFrame, index: Index) -> DataFrame:
     """vec_id, v, list: each row in the list of its nearest centre."""
 
@@ -141,21 +138,31 @@ def placed(rows: DataFrame, index: Index) -> DataFrame:
                 near = index.nearest(index.turned(_matrix(b.column(1)), False), 1)[:, 0]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
 
-    return map_arrow(rows, run, f"{_KIND}, list int")
+    return map_arrow(rows, run, f"vec_id long, v {_kind(rows)}, list int")
 
 
-def probing(rows: DataFrame, index: Index, k: int) -> DataFrame:
-    """vec_id, v, bound, list: each query in every list that it probes."""
+def probing(queries: DataFrame, index: Index, bins: np.ndarray, first: int, last: int) -> DataFrame:
+    """vec_id, v, bound, bin, lists: each query in every bin that holds lists it probes, the first-th to last-th nearest, with these lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = index.turned(_matrix(b.column(1)), True)
-                near, bounds = index.nearest(x, index.probes), index.bounds(x, b.column(0).to_numpy(), k)
-                at = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(bounds[at]), pa.array(near.reshape(-1).astype(np.int32))], ["vec_id", "v", "bound", "list"])
-
-    return map_arrow(rows, run, f"{_KIND}, bound double, list int")
+            if not b.num_rows:
+                continue
+            x = index.turned(_matrix(b.column(1)), True)
+            near = np.argsort(squared(x, index.centres), axis=1, kind="stable")[:, first:last]
+            at, held, lists = [], [], []
+            for i, own in enumerate(near if near.shape[1] else ()):
+                order = np.argsort(bins[own], kind="stable")
+                names, starts = np.unique(bins[own][order], return_index=True)
+                for name, part in zip(names.tolist(), np.split(own[order], starts[1:]), strict=True):
+                    if name >= 0:
+                        at.append(i)
+                        held.append(name)
+                        lists.append(part.astype(np.int32))
+            take = pa.array(at, pa.int64())
+            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(held, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "bound", "bin", "lists"])
+
+    return map_arrow(queries, run, f"vec_id long, v {_kind(queries)}, bound double, bin int, lists array<int>")
 
 
 def anchored(queries: DataFrame, index: Index, k: int) -> DataFrame:
@@ -166,21 +173,32 @@ def anchored(queries: DataFrame, index: Index, k: int) -> DataFrame:
             if b.num_rows:
                 yield pa.record_batch([pa.array(c) for c in index.best_anchors(_matrix(b.column(1)), b.column(0).to_numpy(), k)], ["query_id", "vec_id", "score"])
 
-    return map_arrow(queries, run, "query_id long, vec_id long, score double")
+    return map_arrow(queries.select("vec_id", "v"), run, "query_id long, vec_id long, score double")
+
+
+def bounded(queries: DataFrame, best: DataFrame, index: Index, k: int) -> DataFrame:
+    """queries with bound: the squared distance of the k-th of best (query_id, rank, vec_id, score), infinite without so many."""
+    kth = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return queries.select("vec_id", "v").join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce(2 - 2 * F.col("score") / (norm * index.scale), F.lit(float("inf"))).alias("bound"))
 
 
 def _matrix(column) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
+    """A list column of equal lengths as a matrix of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
 
-def scan(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.ndarray, x_ids: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, ids and exact inner products of each query's k best of x that aren't beyond its bound, as the adaptive scan leaves them; anchors are left out."""
+def scan(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, probes: np.ndarray, x: np.ndarray, x_ids: np.ndarray, lists: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and exact inner products of each query's k best of x that aren't beyond its bound, as the adaptive scan leaves
+    them; anchors are left out. lists: of each row of x; probes: [queries, lists], whether the query probes the list."""
     turned_q, turned_x = index.turned(q, True), index.turned(x, False)
     dims = turned_x.shape[1]
     allowed = lambda done: bounds * (1 + ERRORS / math.sqrt(done)) ** 2 if done < dims else bounds + 1e-9
     done = min(STEP, dims)
     partial = squared(turned_q[:, :done], turned_x[:, :done])
-    i, j = np.nonzero((partial * (dims / done) <= allowed(done)[:, None]) & (q_ids[:, None] != x_ids[None]) & ~np.isin(x_ids, index.anchor_ids)[None])
+    keep = (partial * (dims / done) <= allowed(done)[:, None]) & probes[:, lists] & ~np.isin(x_ids, index.anchor_ids)[None]
+    i, j = np.nonzero(keep & (q_ids[:, None] != x_ids[None]))
     partial = partial[i, j]
     while done < dims:
         part = turned_x[j, done : done + STEP] - turned_q[i, done : done + STEP]
@@ -204,6 +222,21 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1)
 
 
+def binned(sizes: dict[int, int], lists: int, block: int = BLOCK) -> tuple[np.ndarray, dict[int, int]]:
+    """The bin of each list, -1 for empty ones, and how many blocks each bin has: neighbouring lists share a bin up to block rows."""
+    bins, held = np.full(lists, -1, np.int32), {}
+    for name in range(lists):
+        if n := sizes.get(name, 0):
+            last = len(held) - 1
+            if last >= 0 and held[last] + n <= block:
+                bins[name] = last
+                held[last] += n
+            else:
+                bins[name] = last + 1
+                held[last + 1] = n
+    return bins, {b: -(-n // block) for b, n in held.items()}
+
+
 def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, a row of vectors that is_query (of vec_id) selects, among all other rows.
 
@@ -215,23 +248,40 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
     index = fit(rows, k, recall)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = rows.filter(is_query(F.col("vec_id")))
     own = written(placed(rows, index), "listed")
-    queries = written(probing(rows.filter(is_query(F.col("vec_id"))), index, k), "probing")
-    blocks = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    sizes = F.broadcast(blocks(own, BLOCK, "blocks").join(blocks(queries, QUERY_BLOCK, "query_blocks"), "list"))  # LISTS rows at most
-    # A row's block is a hash of its id, so that no list is ever numbered in one task.
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = own.join(sizes, "list").select("list", dealt(F.col("blocks")).alias("b"), every("query_blocks").alias("q"), "vec_id", "v")
-    right = queries.join(sizes, "list").select("list", every("blocks").alias("b"), dealt(F.col("query_blocks")).alias("q"), "vec_id", "v", "bound")
-    group = ["list", "b", "q"]
-
-    def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or q.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        found = scan(np.stack(q["v"]), q["vec_id"].to_numpy(), q["bound"].to_numpy(), np.stack(x["v"]), x["vec_id"].to_numpy(), index, k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    some = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, "query_id long, vec_id long, score double").union(anchored(rows.filter(is_query(F.col("vec_id"))), index, k))
+    # At most LISTS rows come to the driver and are sent back: the sizes of lists, the bins and their blocks.
+    bins, blocks = binned({r["list"]: r["count"] for r in own.groupBy("list").count().collect()}, len(index.centres))
+    table = lambda pairs, schema: F.broadcast(spark.createDataFrame(pairs, schema))
+    of_list = table([(k_, int(b), blocks[int(b)]) for k_, b in enumerate(bins) if b >= 0], "list int, bin int, blocks int")
+    stored = own.join(of_list, "list").select("bin", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("b"), "vec_id", "v", "list")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return some.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def scanned(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of the rows of probing()."""
+        asked = written(asked, "probing")
+        many = asked.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+        size = table([(r["bin"], r["query_blocks"], blocks[r["bin"]]) for r in many.collect()], "bin int, query_blocks int, blocks int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = stored.join(size.drop("blocks"), "bin").select("bin", "b", every("query_blocks").alias("q"), "vec_id", "v", "list")
+        right = asked.join(size, "bin").select("bin", every("blocks").alias("b"), F.pmod(F.xxhash64("vec_id"), "query_blocks").cast("int").alias("q"), "vec_id", "v", "bound", "lists")
+
+        def best(x: pa.Table, q: pa.Table) -> pa.Table:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if len(x) and len(q):
+                names, lists = np.unique(x["list"].to_numpy(), return_inverse=True)
+                vectors_, ids = _matrix(x["v"]), x["vec_id"].to_numpy()
+                for part in (q.slice(at, AT_ONCE) for at in range(0, len(q), AT_ONCE)):
+                    probes = np.stack([np.isin(names, p) for p in part["lists"].to_pylist()])
+                    found.append(scan(_matrix(part["v"]), part["vec_id"].to_numpy(), part["bound"].to_numpy(), probes, vectors_, ids, lists, index, k))
+            return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+        group = ["bin", "b", "q"]
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(best, "query_id long, vec_id long, score double")
+
+    seeds = anchored(queries, index, k)
+    first = max(1, math.ceil(index.probes * FIRST))
+    near = written(ranked(scanned(probing(bounded(queries, ranked(seeds), index, k), index, bins, 0, first)).union(seeds)), "near")
+    rest = scanned(probing(bounded(queries, near, index, k), index, bins, first, index.probes))
+    return ranked(near.select("query_id", "vec_id", "score").union(rest)).select("query_id", "rank", "vec_id", "score")
