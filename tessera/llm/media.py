@@ -126,7 +126,8 @@ def store(docs: DataFrame, shared: DataFrame, text_col: str = "text") -> DataFra
     """The chunk store, a row for each distinct object: object_id, contents, given. A content is null where the chunk is
     kept by another place; given lists seq and digest of chunks that other places take from here."""
     roles = shared.groupBy("object_id").agg(F.collect_list(F.when(~F.col("own"), F.col("seq"))).alias("taken"), F.collect_list(F.when(F.col("own"), F.struct("seq", "digest"))).alias("given"))
-    objects = _contents(docs, text_col).groupBy("object_id").agg(F.first("contents").alias("contents"))
+    # Joins would add this condition where they can: with it in both plans that read the store, they share its one shuffle.
+    objects = _contents(docs, text_col).filter("object_id is not null").groupBy("object_id").agg(F.first("contents").alias("contents"))
     kept = F.when(F.size("taken") > 0, F.transform("contents", lambda c, k: F.when(~F.array_contains("taken", k), c))).otherwise(F.col("contents"))
     return objects.join(roles, "object_id", "left").select("object_id", kept.alias("contents"), "given")
 
