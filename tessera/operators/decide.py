@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,25 +66,26 @@ def macro_f05(predicted: DataFrame, truth: DataFrame, s1: DataFrame, by: tuple[s
     return d.groupBy(*by).agg(F.avg("f05").alias("macro_f05"), share("n_pred").alias("micro_precision"), share("n_true").alias("micro_recall"), F.avg(F.when(F.col("n_true") == 0, F.col("f05"))).alias("singleton_acc"), F.count("*").alias("n"))
 
 
-def _grid(s1: DataFrame, rows: list[tuple]) -> DataFrame:
+def _grid(rows: list[tuple]) -> Column:
+    """A grid as an array of structs of thr, or of thr_top and thr_rest."""
     names = ["thr"] if len(rows[0]) == 1 else ["thr_top", "thr_rest"]
-    return F.broadcast(s1.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names)))
+    return F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))
 
 
-def _tuned(owned: DataFrame, truth: DataFrame, s1: DataFrame, rows: list[tuple], keep: Column) -> DataFrame:
-    """Macro F0.5 of each row of a grid, from one pass: an edge and a true pair count in the grid rows they pass.
+def _tuned(owned: DataFrame, truth: DataFrame, s1: DataFrame, rows: list[tuple], bound: Callable[[Column], Column]) -> DataFrame:
+    """Macro F0.5 of each row of a grid, from one pass: an edge becomes a row for each grid row that it passes, those with a bound up to its prob.
 
-    S1 without edges contribute the same to every grid row, so they are counted once and not multiplied."""
-    names = ("thr",) if len(rows[0]) == 1 else ("thr_top", "thr_rest")
+    S1 without kept edges contribute the same to every grid row, so they are counted once and not multiplied."""
+    names = ["thr"] if len(rows[0]) == 1 else ["thr_top", "thr_rest"]
     true = truth.select(PAIR).distinct()
-    ranked = owned.withColumn("_rk", _first("s1_id")).join(true.withColumn("_t", F.lit(1)), PAIR, "left")
-    kept = ranked.crossJoin(_grid(s1, rows)).filter(keep)  # the grid is a few dozen rows
+    ranked = owned.withColumn("_rk", _first("s1_id")).filter(F.col("prob") >= min(map(min, rows))).join(true.withColumn("_t", F.lit(1)), PAIR, "left")
+    kept = ranked.select("s1_id", "_t", F.explode(F.filter(_grid(rows), lambda g: F.col("prob") >= bound(g))).alias("g")).select("s1_id", "_t", "g.*")
     got = kept.groupBy(*names, "s1_id").agg(F.count("*").alias("n_pred"), F.count("_t").alias("tp"))
     n_true = true.groupBy("s1_id").agg(F.count("*").alias("n_true"))
     every = s1.select("s1_id").distinct().join(n_true, "s1_id", "left").fillna(0, ["n_true"])
     base = every.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("empty"))
     each = got.join(every, "s1_id").select(*names, (1.25 * F.col("tp") / F.greatest(0.25 * F.col("n_true") + F.col("n_pred"), F.lit(1e-9)) - (F.col("n_true") == 0).cast("int")).alias("gain"))
-    total = _grid(s1, rows).join(each.groupBy(*names).agg(F.sum("gain").alias("gain")), list(names), "left").crossJoin(F.broadcast(base))  # one row
+    total = base.select("n", "empty", F.explode(_grid(rows)).alias("g")).select("n", "empty", "g.*").join(each.groupBy(*names).agg(F.sum("gain").alias("gain")), names, "left")
     return total.select(*names, ((F.col("empty") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).alias("macro_f05"))
 
 
@@ -94,14 +95,14 @@ def steps(low: float, high: float, by: float = 0.05) -> list[float]:
 
 def tune_threshold(scored: DataFrame, truth: DataFrame, s1: DataFrame, grid: Iterable[float] = tuple(steps(0.20, 0.90))) -> DataFrame:
     """thr, macro_f05 for the whole grid, in one job."""
-    return _tuned(assign_owner(scored), truth, s1, [(t,) for t in grid], F.col("prob") >= F.col("thr"))
+    return _tuned(assign_owner(scored), truth, s1, [(t,) for t in grid], lambda g: g["thr"])
 
 
 def tune_rank_thresholds(scored: DataFrame, truth: DataFrame, s1: DataFrame, tops: Iterable[float] = tuple(steps(0.40, 0.75)), rests: Iterable[float] = tuple(steps(0.60, 0.85))) -> DataFrame:
     """thr_top, thr_rest, macro_f05 for all pairs with thr_top <= thr_rest, in one job."""
     rests = list(rests)
-    bound = F.when(F.col("_rk") == 1, F.col("thr_top")).otherwise(F.col("thr_rest"))
-    return _tuned(assign_owner(scored), truth, s1, [(a, b) for a in tops for b in rests if a <= b], F.col("prob") >= bound)
+    bound = lambda g: F.when(F.col("_rk") == 1, g["thr_top"]).otherwise(g["thr_rest"])
+    return _tuned(assign_owner(scored), truth, s1, [(a, b) for a in tops for b in rests if a <= b], bound)
 
 
 def best_of(tuned: DataFrame) -> DataFrame:

@@ -280,9 +280,12 @@ def _levenshtein(a, b):
     return F.lit(100.0) * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-@query("country:s word:s fixed:s", "records", "SELECT * FROM fixes", **_FIX)
+_SHOPS = {"records": "SELECT * FROM shops"}
+
+
+@query("country:s word:s fixed:s", "shops", "SELECT * FROM fixes", **_SHOPS, **_FIX)
 def typo_corrections(t: Tables) -> DataFrame:
-    return C.corrections(t.records, similarity=_levenshtein)
+    return C.corrections(t.shops, similarity=_levenshtein)
 
 
 _TYPO = f"""SELECT s1_id, cand_id FROM (SELECT p.*, row_number() OVER (PARTITION BY cand_id ORDER BY round(cos, 9) DESC, s1_id) AS rk FROM (SELECT s.s1_id, f.cand_id, f.addr_empty, s.owners, coalesce(c.cos, 0) AS cos
@@ -294,9 +297,9 @@ _TYPO_CTES = {
 }
 
 
-@query("s1_id:i cand_id:i", "records", _TYPO, **_FIX, **_WEIGHTS, **_TYPO_CTES)
+@query("s1_id:i cand_id:i", "shops", _TYPO, **_SHOPS, **_FIX, **_WEIGHTS, **_TYPO_CTES)
 def rescue_typo_group_rule(t: Tables) -> DataFrame:
-    return C.typo_rescue(t.records, _weights(t), C.corrections(t.records, similarity=_levenshtein))
+    return C.typo_rescue(t.shops, T.postings(t.shops, C.views(), MAX_DF), C.corrections(t.shops, similarity=_levenshtein))
 
 
 def _margin_sql(cos: float, margin: float) -> str:
@@ -316,19 +319,19 @@ def _number_scores(pool: str) -> dict[str, str]:
 _NAMED = f"SELECT DISTINCT entity_id FROM (SELECT country, entity_id, unnest({tokens_sql('name_core')}) AS word FROM records WHERE src <> 1) WHERE (country, word) IN (SELECT country, unnest({tokens_sql('name_core')}) FROM records WHERE src = 1)"
 
 
-@query("s1_id:i cand_id:i cos:f margin:f", "records", _margin_sql(0.02, 0.001), **_number_scores(f"SELECT * FROM records WHERE src = 1 UNION ALL SELECT * FROM records WHERE src <> 1 AND name_core <> '' AND addr_nums <> '' AND entity_id NOT IN ({_NAMED})"), scores="SELECT * FROM ncos")
+@query("s1_id:i cand_id:i cos:f margin:f", "shops", _margin_sql(0.3, 0.1), **_SHOPS, **_number_scores(f"SELECT * FROM records WHERE src = 1 UNION ALL SELECT * FROM records WHERE src <> 1 AND name_core <> '' AND addr_nums <> '' AND entity_id NOT IN ({_NAMED})"), scores="SELECT * FROM ncos")
 def rescue_dba_margin(t: Tables) -> DataFrame:
-    return C.trade_name_rescue(t.records, 0.02, 0.001)
+    return C.trade_name_rescue(t.shops)
 
 
 _OWNERS = f"SELECT country, word, count(DISTINCT entity_id) AS n FROM (SELECT country, entity_id, unnest({tokens_sql('name_core')}) AS word FROM records WHERE src = 1) GROUP BY ALL"
 _AMBIGUOUS = f"SELECT entity_id FROM (SELECT country, entity_id, unnest({tokens_sql('name_core')}) AS word FROM records WHERE src <> 1 AND addr_nums <> '' AND NOT addr_empty) JOIN ({_OWNERS}) USING (country, word) GROUP BY entity_id HAVING min(n) >= 2"
 
 
-@query("s1_id:i cand_id:i cos:f margin:f", "records", _margin_sql(0.02, 0.001), **_WEIGHTS, **_number_scores(f"SELECT * FROM records WHERE src = 1 OR (src <> 1 AND entity_id IN ({_AMBIGUOUS}))"),
+@query("s1_id:i cand_id:i cos:f margin:f", "shops", _margin_sql(0.3, 0.1), **_SHOPS, **_WEIGHTS, **_number_scores(f"SELECT * FROM records WHERE src = 1 OR (src <> 1 AND entity_id IN ({_AMBIGUOUS}))"),
        near="SELECT * FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY cand_id ORDER BY round(cos, 9) DESC, s1_id) AS r0 FROM cosines WHERE view = 'cross' AND round(cos, 9) >= 0.01 AND cand_id IN (SELECT entity_id FROM pool)) WHERE r0 <= 20", scores="SELECT n.s1_id, n.cand_id, coalesce(c.cos, 0) AS cos FROM near n LEFT JOIN ncos c USING (s1_id, cand_id)")
 def rescue_common_margin(t: Tables) -> DataFrame:
-    return C.common_name_rescue(t.records, _weights(t), min_cos=0.02, min_margin=0.001)
+    return C.common_name_rescue(t.shops, T.postings(t.shops, C.views(), MAX_DF))
 
 
 _DOTS = "SELECT q.id AS cand_id, s.id AS s1_id, round(list_dot_product(q.vec, s.vec), 9) AS cos FROM vectors q JOIN vectors s ON q.country = s.country AND q.id % 3 <> 0 AND s.id % 3 = 0"

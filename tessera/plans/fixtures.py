@@ -43,6 +43,17 @@ class Tables:
             joined(F.col("at")).alias("addr_tokens"), kept("at", lambda t: ~digits(t)).alias("addr_words"), joined(F.array_distinct(F.filter("at", digits))).alias("addr_nums"), joined(F.array_sort(F.array_distinct(F.filter("at", lambda t: t.isin(STATE_CODES))))).alias("addr_state"), (F.size("at") == 0).alias("addr_empty"),
         )
 
+    @cached_property
+    def shops(self) -> DataFrame:
+        """Records with house numbers, misspelt and invented names, from part: a brand is a country."""
+        key, other = F.col("p_partkey"), F.col("p_partkey") % 3 != 0
+        name = F.when(other & (key % 4 == 0), F.concat(F.lit("zz"), key)).when(other & (key % 4 == 1), F.replace("p_name", F.lit("i"), F.lit("ii"))).otherwise(F.col("p_name"))
+        empty = key % 11 == 0
+        numbers = F.concat_ws(" ", "p_size", key % 7 + 100)
+        blank = lambda c: F.when(empty, "").otherwise(c)
+        d = self.read("part").select(key.alias("entity_id"), (key % 3 + 1).alias("src"), F.col("p_brand").alias("country"), name.alias("name_core"), name.alias("name_full"), blank(F.concat_ws(" ", "p_size", F.lower("p_type"), key % 7 + 100, "p_name")).alias("addr_tokens"), blank(F.concat_ws(" ", F.lower("p_type"), "p_name")).alias("addr_words"), blank(numbers).alias("addr_nums"), empty.alias("addr_empty"))
+        return d
+
     @cached_property
     def edges(self) -> DataFrame:
         """s1_id, cand_id, prob, y, src."""
@@ -124,6 +135,9 @@ CTES = {
         array_to_string(list_filter(ad, lambda t: NOT regexp_full_match(t, '[0-9]+')), ' ') AS addr_words,
         array_to_string(list_transform(list_filter(range(1, len(ad) + 1), lambda i: regexp_full_match(ad[i], '[0-9]+') AND list_position(ad, ad[i]) = i), lambda i: ad[i]), ' ') AS addr_nums,
         array_to_string(list_sort(list_distinct(list_filter(ad, lambda t: t IN {_in(STATE_CODES)}))), ' ') AS addr_state, len(ad) = 0 AS addr_empty FROM words""",
+    "shops": """SELECT p_partkey AS entity_id, p_partkey % 3 + 1 AS src, p_brand AS country, name AS name_core, name AS name_full, CASE WHEN e THEN '' ELSE p_size || ' ' || lower(p_type) || ' ' || (p_partkey % 7 + 100) || ' ' || p_name END AS addr_tokens,
+        CASE WHEN e THEN '' ELSE lower(p_type) || ' ' || p_name END AS addr_words, CASE WHEN e THEN '' ELSE p_size || ' ' || (p_partkey % 7 + 100) END AS addr_nums, e AS addr_empty
+        FROM (SELECT *, p_partkey % 11 = 0 AS e, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 0 THEN 'zz' || p_partkey WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 1 THEN replace(p_name, 'i', 'ii') ELSE p_name END AS name FROM part)""",
     "edges": "SELECT l_suppkey AS s1_id, l_partkey AS cand_id, round(avg(l_discount) * 10, 6) AS prob, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y, l_partkey % 2 + 2 AS src FROM lineitem GROUP BY ALL",
     "truth": "SELECT min(s1_id) AS s1_id, cand_id FROM edges WHERE y = 1 GROUP BY cand_id",
     "s1": "SELECT s_suppkey AS s1_id, s_nationkey AS country FROM supplier",
