@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import chain
 
 from pyspark.sql import Column
@@ -13,6 +13,11 @@ from . import tables
 _FROM, _TO, _SEVERAL = tables.latin_folding()
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: inside of lambdas an expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lookup(values: Mapping[str, str]) -> Column:
     """A map literal; empty for no values."""
     return F.create_map(*(F.lit(x) for x in chain.from_iterable(values.items()))) if values else F.from_json(F.lit("{}"), "map<string,string>")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import addr_keys, char_trigrams, cross_keys, name_keys, num_word_keys
 from ..functions.similarity import indel_ratio, pairwise
 from ..functions.text import joined, name_variant_key, order_free, tokens
+from ..runtime import written
 from .tfidf import comb_cosines, cosines, pair_cosines, postings, top_k
 
 PAIR = ["s1_id", "cand_id"]
@@ -33,9 +34,11 @@ def sides(records: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
 
 def generate(records: DataFrame, k_name: int = 5, k_addr: int = 5, k_comb: int = 15, k_rev: int = 2, max_df: int = MAX_DF, rescues: list[DataFrame] | None = None) -> DataFrame:
     """All candidate pairs once: forward top-k by name, address and all views, reverse top-k by all views, and rescued pairs.
-    The four cosines of each pair are blk_name, blk_addr, blk_cross and blk_comb."""
-    weights = postings(records, views(), max_df)
-    by_view, comb = cosines(weights), comb_cosines(weights)
+    The four cosines of each pair are blk_name, blk_addr, blk_cross and blk_comb. Weights and cosines are tables in the shared folder, as many
+    parts read them."""
+    weights = written(postings(records, views(), max_df), "postings")
+    by_view = written(cosines(weights), "cosines")
+    comb = written(comb_cosines(weights, by_view), "comb")
     parts = [top_k(by_view.filter("view = 'name'"), "s1_id", k_name), top_k(by_view.filter("view = 'addr'"), "s1_id", k_addr), top_k(comb, "s1_id", k_comb), top_k(comb, "cand_id", k_rev), *(rescues or ())]
     pairs = parts[0].select(PAIR)
     for p in parts[1:]:

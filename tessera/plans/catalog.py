@@ -20,6 +20,7 @@ from ..operators import model as M
 from ..operators import retrieval as D
 from ..operators import simulate as E
 from ..operators import tfidf as T
+from ..runtime import written
 from ..sources import tsv
 from .fixtures import MAX_DF, Tables, order_free_sql, plain_sql, shaped, shaped_sql, tokens_sql, with_ctes
 
@@ -223,13 +224,14 @@ _WEIGHTS = {
 }
 
 
-def _weights(t: Tables) -> DataFrame:
-    return T.postings(t.records, C.views(), MAX_DF)
+def _weights(t: Tables, records: DataFrame | None = None) -> DataFrame:
+    """Weights of all views as a table, for queries that read them several times."""
+    return written(T.postings(records or t.records, C.views(), MAX_DF), "postings")
 
 
 @query("country:s view:s id:i side:i key:s w:f", "records", "SELECT * FROM w", **_WEIGHTS)
 def tfidf_weights(t: Tables) -> DataFrame:
-    return _weights(t)
+    return T.postings(t.records, C.views(), MAX_DF)
 
 
 @query("s1_id:i cand_id:i cos:f", "records", "SELECT * FROM comb", **_WEIGHTS)
@@ -239,7 +241,7 @@ def comb_cosine(t: Tables) -> DataFrame:
 
 @query("s1_id:i cand_id:i cos:f rk:i", "records", "SELECT * FROM (SELECT s1_id, cand_id, cos, row_number() OVER (PARTITION BY s1_id ORDER BY round(cos, 9) DESC, cand_id) AS rk FROM cosines WHERE view = 'name' AND round(cos, 9) >= 0.02) WHERE rk <= 5", **_WEIGHTS)
 def topk_forward_name(t: Tables) -> DataFrame:
-    return T.top_k(T.cosines(T.postings(t.records, {"name": C.views()["name"]}, MAX_DF)), "s1_id", 5)
+    return T.top_k(T.cosines(written(T.postings(t.records, {"name": C.views()["name"]}, MAX_DF), "postings")), "s1_id", 5)
 
 
 @query("s1_id:i cand_id:i cos:f rk:i", "records", "SELECT * FROM (SELECT s1_id, cand_id, cos, row_number() OVER (PARTITION BY cand_id ORDER BY round(cos, 9) DESC, s1_id) AS rk FROM comb WHERE round(cos, 9) >= 0.02) WHERE rk <= 2", **_WEIGHTS)
@@ -299,7 +301,7 @@ _TYPO_CTES = {
 
 @query("s1_id:i cand_id:i", "shops", _TYPO, **_SHOPS, **_FIX, **_WEIGHTS, **_TYPO_CTES)
 def rescue_typo_group_rule(t: Tables) -> DataFrame:
-    return C.typo_rescue(t.shops, T.postings(t.shops, C.views(), MAX_DF), C.corrections(t.shops, similarity=_levenshtein))
+    return C.typo_rescue(t.shops, _weights(t, t.shops), C.corrections(t.shops, similarity=_levenshtein))
 
 
 def _margin_sql(cos: float, margin: float) -> str:
@@ -331,7 +333,7 @@ _AMBIGUOUS = f"SELECT entity_id FROM (SELECT country, entity_id, unnest({tokens_
 @query("s1_id:i cand_id:i cos:f margin:f", "shops", _margin_sql(0.3, 0.1), **_SHOPS, **_WEIGHTS, **_number_scores(f"SELECT * FROM records WHERE src = 1 OR (src <> 1 AND entity_id IN ({_AMBIGUOUS}))"),
        near="SELECT * FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY cand_id ORDER BY round(cos, 9) DESC, s1_id) AS r0 FROM cosines WHERE view = 'cross' AND round(cos, 9) >= 0.01 AND cand_id IN (SELECT entity_id FROM pool)) WHERE r0 <= 20", scores="SELECT n.s1_id, n.cand_id, coalesce(c.cos, 0) AS cos FROM near n LEFT JOIN ncos c USING (s1_id, cand_id)")
 def rescue_common_margin(t: Tables) -> DataFrame:
-    return C.common_name_rescue(t.shops, T.postings(t.shops, C.views(), MAX_DF))
+    return C.common_name_rescue(t.shops, _weights(t, t.shops))
 
 
 _DOTS = "SELECT q.id AS cand_id, s.id AS s1_id, round(list_dot_product(q.vec, s.vec), 9) AS cos FROM vectors q JOIN vectors s ON q.country = s.country AND q.id % 3 <> 0 AND s.id % 3 = 0"

@@ -1,19 +1,41 @@
-"""Hands this package to the executors' Python, which may not have it installed."""
+"""What operators need of the cluster: this package on the executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession | None = None) -> None:
-    """Once for each application; without an active session it does nothing."""
+    """Hands this package to the executors' Python, which may not have it installed, once for each application.
+
+    Without an active session it does nothing."""
     spark = spark or SparkSession.getActiveSession()
     if spark is None or getattr(spark.sparkContext, "_tessera_shipped", False):
         return
     sc, package = spark.sparkContext, Path(__file__).resolve().parent
     sc.addPyFile(shutil.make_archive(os.path.join(sc._temp_dir, package.name), "zip", package.parent, package.name))
     sc._tessera_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder. Its own is set only where the cluster names none, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = "/tmp/tessera-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", at)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it is worked out once, cuts lineage and outlives lost executors."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
