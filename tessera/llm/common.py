@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship, written
+
+__all__ = ["held_out", "labelled_sample", "map_arrow", "read", "ship", "strings", "written"]
+
 #: Rows in an Arrow batch: a batch of long texts then stays in the tens of MB.
 BATCH_ROWS = 256
 
@@ -20,16 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python, once for each application: they may not have it installed."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_tessera_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        at = os.path.join(sc._temp_dir, package.name)
-        sc.addPyFile(shutil.make_archive(at, "zip", package.parent, package.name))
-        sc._tessera_shipped = True
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over small batches."""
     ship(df.sparkSession)
@@ -42,25 +32,6 @@ def strings(batch: pa.RecordBatch, i: int) -> list[str]:
     return [t or "" for t in batch.column(i).to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Its own is set only where the cluster names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "/tmp/tessera-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
