@@ -33,9 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's tables in the shared folder."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is worked out once, cuts lineage and outlives lost executors."""
+    """df as a Parquet table in the shared folder: it is worked out once, cuts lineage and outlives lost executors.
+
+    The table stays until clear(), since results that are read later may depend on it.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application has written(), once its results are stored."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

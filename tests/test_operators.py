@@ -277,6 +277,16 @@ def test_streams(spark, records, tmp_path):
     assert {(r["entity_id"], r["s1_id"]) for r in linked.filter("s1_id is not null").collect()} == {(11, 1)}
 
 
+def test_written_tables_can_be_cleared(spark):
+    from tessera import runtime
+
+    table = runtime.written(spark.range(3), "numbers")
+    assert table.count() == 3
+    runtime.clear(spark)
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        runtime.written(spark.range(1), "n") and table.count()
+
+
 def test_empty_tables(spark, records, scored, truth, s1):
     none, no_edges = records.limit(0), scored.limit(0)
     assert candidates.generate(none).count() == 0 and decide.assign_owner(no_edges).count() == 0 and context.prob_context(no_edges).count() == 0
