@@ -115,7 +115,8 @@ def log_odds(p: Column) -> Column:
 
 def edge_group_features(scored: DataFrame, records: DataFrame, least: float = 0.01) -> DataFrame:
     """Features of edges with prob >= least among the edges of their record (r_) and S1 (s_), of confident siblings by source, and of
-    the competitor. records: cand_id, src of the sources 2 and 3."""
+    the competitor. records: cand_id, src of the sources 2 and 3. Where scored has them, retriever columns (f_bi_top1, f_bi_cos1) give s_bi_n,
+    comp_f_bi_cos1 and d_bi, and a later stage's p3 gives in_zone."""
     d = scored.filter(F.col("prob") >= least).withColumns({
         "lp": log_odds(F.col("prob")),
         "r_n": F.count("*").over(_cand()),
@@ -137,9 +138,13 @@ def edge_group_features(scored: DataFrame, records: DataFrame, least: float = 0.
         "sib_same": F.when(F.col("csrc") == 2, many(2)).otherwise(many(3)) - own,
         "sib_other": F.when(F.col("csrc") == 2, many(3)).otherwise(many(2)),
     })
-    compared = ["prob", "sib_n", "lp", "s_sum"]
+    retrieved = {"f_bi_top1", "f_bi_cos1"} <= set(scored.columns)
+    compared = ["prob", "sib_n", "lp", "s_sum", *["f_bi_cos1"] * retrieved]
     d = d.withColumns({f"comp_{c}": of_competitor(c, "r_rank") for c in compared})
-    return d.withColumns({f"d_{c}": F.col(c) - F.col(f"comp_{c}") for c in ("sib_n", "lp")})
+    d = d.withColumns({f"d_{c}": F.col(c) - F.col(f"comp_{c}") for c in ("sib_n", "lp")})
+    if retrieved:
+        d = d.withColumns({"s_bi_n": F.sum("f_bi_top1").over(_s1()), "d_bi": F.col("f_bi_cos1") - F.col("comp_f_bi_cos1")})
+    return d.withColumn("in_zone", F.col("p3").isNotNull().cast("int")) if "p3" in scored.columns else d
 
 
 def prototype_similarity(scored: DataFrame, texts: DataFrame, name_similarity, address_similarity) -> DataFrame:
@@ -153,3 +158,32 @@ def prototype_similarity(scored: DataFrame, texts: DataFrame, name_similarity, a
     pairs = open_.join(sure, "s1_id").filter("sib <> cand_id").join(own, "cand_id").join(other, "sib")
     both = pairs.select("s1_id", "cand_id", name_similarity(F.col("qn"), F.col("sn")).alias("n"), address_similarity(F.col("qa"), F.col("sa")).alias("a"), ((F.col("qa") == F.col("sa")) & (F.col("qa") != "")).alias("eq"))
     return both.groupBy("s1_id", "cand_id").agg(F.max("n").alias("proto_name"), F.avg("n").alias("proto_name_mean"), F.max("a").alias("proto_addr"), F.bool_or("eq").cast("int").alias("proto_addr_eq"))
+
+
+def owner_features(scored: DataFrame, records: DataFrame, texts: DataFrame, s1_texts: DataFrame, name_similarity, address_similarity, least: float = 0.01) -> DataFrame:
+    """edge_group_features with prototype similarities (null without siblings), the similarity of record and S1 (s1_name, s1_addr), all of
+    these of the competitor (comp_), and the differences (d_). texts: cand_id, name, address; s1_texts: s1_id, name, address."""
+    edges = scored.filter(F.col("prob") >= least)
+    d = edge_group_features(scored, records, least).join(prototype_similarity(edges, texts, name_similarity, address_similarity), ["s1_id", "cand_id"], "left")
+    own = texts.select("cand_id", F.col("name").alias("_qn"), F.col("address").alias("_qa"))
+    other = s1_texts.select("s1_id", F.col("name").alias("_sn"), F.col("address").alias("_sa"))
+    d = d.join(own, "cand_id", "left").join(other, "s1_id", "left")
+    d = d.withColumns({"s1_name": name_similarity(F.col("_qn"), F.col("_sn")), "s1_addr": address_similarity(F.col("_qa"), F.col("_sa"))}).drop("_qn", "_qa", "_sn", "_sa")
+    d = d.withColumns({f"comp_{c}": of_competitor(c, "r_rank") for c in ("sib_same", "proto_name", "proto_addr", "s1_name", "s1_addr")})
+    return d.withColumns({f"d_{c}": F.col(c) - F.col(f"comp_{c}") for c in ("proto_name", "proto_addr", "s1_name", "s1_addr")})
+
+
+def later_logit_columns(scored: DataFrame, name: str = "ce3", detwin: bool = False) -> DataFrame:
+    """PAIR, p2_<name>_logit and its gaps to the best other candidate and owner; with detwin a clone has its original's gaps.
+    scored: s1_id, cand_id, ce_logit."""
+    from ..functions.text import original_id
+
+    kept = ["s1_id", "cand_id", "p2_ce_gap_s1", "p2_ce_gap_cand"]
+    own = scored.select("s1_id", "cand_id", "ce_logit")
+    if detwin:
+        marked = own.withColumn("_o", original_id(F.col("cand_id")))
+        merged = marked.groupBy("s1_id", F.col("_o").alias("cand_id")).agg(F.max("ce_logit").alias("ce_logit"))
+        made = marked.join(logit_context(merged).select(kept).withColumnRenamed("cand_id", "_o"), ["s1_id", "_o"], "left")
+    else:
+        made = logit_context(own)
+    return made.select("s1_id", "cand_id", F.col("ce_logit").alias(f"p2_{name}_logit"), F.col("p2_ce_gap_s1").alias(f"p2_{name}_gap_s1"), F.col("p2_ce_gap_cand").alias(f"p2_{name}_gap_cand"))

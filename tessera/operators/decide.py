@@ -184,3 +184,42 @@ def owner_choice(scored: DataFrame, other: str = "q") -> DataFrame:
     best = lambda c: F.max_by("label", F.struct(F.col(c), -F.col("s1_id")))
     g = scored.groupBy("cand_id").agg(F.count("*").alias("n"), F.max("label").alias("y"), best("prob").alias("a"), best(other).alias("b")).filter("n >= 2 and y = 1")
     return g.agg(F.count("*").alias("groups"), F.sum("a").alias("champion"), F.sum("b").alias("challenger"), F.count_if(F.col("b") > F.col("a")).alias("fixed"), F.count_if(F.col("b") < F.col("a")).alias("broke"))
+
+
+def ambiguous_coverage(scored: DataFrame, records: DataFrame, thresholds: Iterable[float] = (0.5, 0.6, 0.67, 0.75, 0.9), by: str = "q") -> DataFrame:
+    """thr, n, coverage, precision: of records with several owners, no address and a name that several S1 share, how many have a best score
+    from thr on, and how many of these are right. scored: PAIR, by, label; records: cand_id, addr_empty, name_owners."""
+    vague = records.filter("addr_empty and name_owners >= 2").select("cand_id")
+    best = scored.join(vague, "cand_id", "left_semi").groupBy("cand_id").agg(F.count("*").alias("owners"), F.max(by).alias("top"), F.max_by("label", F.struct(F.col(by), -F.col("s1_id"))).alias("y")).filter("owners >= 2")
+    grid = F.array(*(F.lit(float(t)) for t in thresholds))
+    each = best.agg(F.count("*").alias("n")).select("n", F.explode(grid).alias("thr"))
+    passed = best.select("y", F.explode(F.filter(grid, lambda t: F.col("top") >= t)).alias("thr")).groupBy("thr").agg(F.count("*").alias("m"), F.avg("y").alias("precision"))
+    return each.join(passed, "thr", "left").select("thr", "n", (F.coalesce("m", F.lit(0)) / F.greatest("n", F.lit(1))).alias("coverage"), "precision")
+
+
+def oracle_gains(scored: DataFrame, predicted: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
+    """case, macro_f05: of the decisions as they are (base), with all false ones gone (no_false), with all true candidates added (add_candidates),
+    with both (ceiling), and of the truth. Label oracles, not scores that can be had."""
+    true, pred = truth.select(PAIR).distinct(), predicted.select(PAIR).distinct()
+    right, seen = pred.join(true, PAIR, "left_semi"), true.join(scored.select(PAIR), PAIR, "left_semi")
+    cases = {"base": pred, "no_false": right, "add_candidates": pred.union(seen), "ceiling": seen, "truth": true}
+    rows = None
+    for name, d in cases.items():
+        one = d.select(F.lit(name).alias("case"), *PAIR)
+        rows = one if rows is None else rows.union(one)
+    every = s1.select("s1_id", F.explode(F.array(*map(F.lit, cases))).alias("case"))
+    return macro_f05(rows, true, every, ("case",)).select("case", "macro_f05")
+
+
+def rescored(full: DataFrame, meta: DataFrame) -> DataFrame:
+    """full with the meta model's score (PAIR, q) as prob where there is one."""
+    return full.join(meta.select(*PAIR, "q"), PAIR, "left").withColumn("prob", F.coalesce("q", "prob")).drop("q")
+
+
+def kept_rule(tuned: DataFrame, path: str) -> DataFrame:
+    """The best row of a tuned grid, from path if it is there already: thresholds are tuned once."""
+    spark = tuned.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        best_of(tuned).coalesce(1).write.json(path)
+    return spark.read.schema(tuned.schema).json(path)

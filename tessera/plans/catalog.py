@@ -625,6 +625,38 @@ def prototype_similarity(t: Tables) -> DataFrame:
     return W.prototype_similarity(t.scored, t.attributes, F.levenshtein, F.levenshtein)
 
 
+def _bi(t: Tables) -> DataFrame:
+    return t.scored.withColumns({"f_bi_top1": (F.col("prob") >= 0.9).cast("int"), "f_bi_cos1": F.when(F.col("prob") >= 0.9, F.col("prob") / 2), "p3": F.when(F.col("prob") < 0.5, F.col("prob"))})
+
+
+@query("s1_id:i cand_id:i s_bi_n:i comp_f_bi_cos1:f d_bi:f in_zone:i", "edges", f"SELECT s1_id, cand_id, sum(CASE WHEN prob >= 0.9 THEN 1 ELSE 0 END) OVER s AS s_bi_n, {_comp('cosine')} AS comp_f_bi_cos1, cosine - {_comp('cosine')} AS d_bi, CASE WHEN prob < 0.5 THEN 1 ELSE 0 END AS in_zone FROM (SELECT *, CASE WHEN prob >= 0.9 THEN prob / 2 END AS cosine FROM ef) {_WINDOWS}", **_EDGE)
+def edge_retriever_features(t: Tables) -> DataFrame:
+    return W.edge_group_features(_bi(t), t.sources)
+
+
+_OWNER = {
+    "p0": f"SELECT *, count(*) OVER (PARTITION BY cand_id) AS rn, {_RANKS} FROM edges WHERE prob >= 0.01",
+    "pq": _PROTO["pp"].replace("pg o", "p0 o").replace("pg z", "p0 z"),
+    "pr": "SELECT s1_id, cand_id, max(n) AS proto_name, max(a) AS proto_addr FROM pq GROUP BY ALL",
+    "od": "SELECT e.*, r.proto_name, r.proto_addr, levenshtein(q.name, x.name) AS s1_name, levenshtein(q.address, x.address) AS s1_addr FROM ef e LEFT JOIN pr r USING (s1_id, cand_id) LEFT JOIN attributes q ON q.cand_id = e.cand_id LEFT JOIN attributes x ON x.cand_id = e.s1_id",
+}
+
+
+@query("s1_id:i cand_id:i proto_name:i s1_name:i s1_addr:i comp_sib_same:i comp_proto_name:i comp_s1_name:i d_proto_addr:i d_s1_name:i d_s1_addr:i", "edges attributes", f"SELECT s1_id, cand_id, proto_name, s1_name, s1_addr, {_comp('sib_same')} AS comp_sib_same, {_comp('proto_name')} AS comp_proto_name, {_comp('s1_name')} AS comp_s1_name, proto_addr - {_comp('proto_addr')} AS d_proto_addr, s1_name - {_comp('s1_name')} AS d_s1_name, s1_addr - {_comp('s1_addr')} AS d_s1_addr FROM od WINDOW c AS (PARTITION BY cand_id)", **_EDGE, **_OWNER)
+def owner_features(t: Tables) -> DataFrame:
+    return W.owner_features(t.scored, t.sources, t.attributes, t.attributes.withColumnRenamed("cand_id", "s1_id"), F.levenshtein, F.levenshtein)
+
+
+_GAPS = "CASE WHEN l = max(l) OVER {0} THEN max(CASE WHEN {1} = 2 THEN l END) OVER {0} ELSE max(l) OVER {0} END"
+
+
+@query("s1_id:i cand_id:s p2_ce3_logit:f p2_ce3_gap_s1:f p2_ce3_gap_cand:f", "edges", "SELECT x.s1_id, x.o || x.tail AS cand_id, g.l AS p2_ce3_logit, g.gs AS p2_ce3_gap_s1, g.gc AS p2_ce3_gap_cand FROM (SELECT s1_id, cand_id AS o, '' AS tail FROM edges UNION ALL SELECT s1_id, cand_id, '#d1' FROM edges WHERE y = 0) x JOIN gp g ON g.s1_id = x.s1_id AND g.cand_id = x.o", **_LOGITS, gp=f"SELECT s1_id, cand_id, l, l - {_GAPS.format('s', 'rs')} AS gs, l - {_GAPS.format('c', 'rc')} AS gc FROM lr {_WINDOWS}")
+def later_logits(t: Tables) -> DataFrame:
+    own = t.edges.select("s1_id", F.col("cand_id").cast("string").alias("cand_id"), F.round(F.col("prob") * 4 - 2, 6).alias("ce_logit"), "y")
+    clones = own.filter("y = 0").withColumn("cand_id", F.concat("cand_id", F.lit("#d1")))
+    return W.later_logit_columns(own.union(clones), detwin=True)
+
+
 # Decisions
 
 
@@ -743,6 +775,26 @@ def owner_choice_eval(t: Tables) -> DataFrame:
     return P.owner_choice(Q.with_label(t.scored, t.truth).withColumn("q", F.round(F.abs(F.col("prob") - 0.4), 6)))
 
 
+@query("thr:f n:i coverage:f precision:f", "edges truth attributes", "SELECT thr, any_value(n) AS n, sum(CASE WHEN top >= thr THEN 1 ELSE 0 END) / greatest(any_value(n), 1) AS coverage, avg(CASE WHEN top >= thr THEN yb END) AS precision FROM (SELECT *, count(*) OVER () AS n FROM bst), (SELECT unnest([0.5, 0.6, 0.67, 0.75, 0.9]) AS thr) GROUP BY thr", bst="SELECT cand_id, max(prob) AS top, arg_max(CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END, (prob, -e.s1_id)) AS yb FROM edges e LEFT JOIN truth t USING (s1_id, cand_id) WHERE cand_id IN (SELECT cand_id FROM attributes WHERE nums = '') GROUP BY cand_id HAVING count(*) >= 2")
+def ambiguous_coverage(t: Tables) -> DataFrame:
+    records = t.attributes.select("cand_id", (F.col("nums") == "").alias("addr_empty"), F.lit(2).alias("name_owners"))
+    return P.ambiguous_coverage(Q.with_label(t.scored, t.truth).withColumn("q", F.col("prob")), records)
+
+
+_CASES = "SELECT 'base' AS kase, s1_id, cand_id FROM pred0 UNION SELECT 'no_false', p.s1_id, p.cand_id FROM pred0 p JOIN truth USING (s1_id, cand_id) UNION SELECT 'add_candidates', s1_id, cand_id FROM pred0 UNION SELECT 'add_candidates', s1_id, cand_id FROM seen UNION SELECT 'ceiling', s1_id, cand_id FROM seen UNION SELECT 'truth', s1_id, cand_id FROM truth"
+
+
+@query("case:s macro_f05:f", "edges truth s1", 'SELECT kase AS "case", avg(f05) AS macro_f05 FROM per GROUP BY kase', own2="SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS rk FROM edges WHERE prob >= 0.2) WHERE rk = 1", pred0="SELECT s1_id, cand_id FROM own2 WHERE prob >= 0.7", seen="SELECT t.s1_id, t.cand_id FROM truth t JOIN edges e USING (s1_id, cand_id) WHERE e.prob >= 0.2", pred=_CASES, **_EVAL, per=_PER.format("s.kase,", "(SELECT * FROM s1, (SELECT unnest(['base', 'no_false', 'add_candidates', 'ceiling', 'truth']) AS kase))", "kase,"))
+def oracle_gains(t: Tables) -> DataFrame:
+    cands = t.scored.filter("prob >= 0.2")
+    return P.oracle_gains(cands, P.decide(cands, 0.7), t.truth, t.s1)
+
+
+@query("s1_id:i cand_id:i prob:f", "edges", "SELECT s1_id, cand_id, CASE WHEN y = 1 THEN 0.5 ELSE prob END AS prob FROM edges")
+def rescored_edges(t: Tables) -> DataFrame:
+    return P.rescored(t.scored, t.edges.filter("y = 1").select("s1_id", "cand_id", F.lit(0.5).alias("q")))
+
+
 # Simulation
 
 
