@@ -14,7 +14,7 @@ from ..functions.keys import addr_keys, char_trigrams, cross_keys, name_keys, nu
 from ..functions.similarity import indel_ratio, pairwise
 from ..functions.text import joined, name_variant_key, order_free, tokens
 from ..runtime import written
-from .tfidf import comb_cosines, cosines, pair_cosines, postings, top_k
+from .tfidf import comb_cosines, cosines, grouped_cosines, pair_cosines, postings, top_k
 
 PAIR = ["s1_id", "cand_id"]
 MAX_DF = 6000
@@ -63,10 +63,9 @@ def best_per_record(pairs: DataFrame, k: int) -> DataFrame:
 def variant_rescue(records: DataFrame, weights: DataFrame, affected: Column | None = None, k: int = 1, min_addr_cos: float = 0.05) -> DataFrame:
     """Affected records (by default those in another script) with the S1 of the same spelling-variant name key, the best k by address: s1_id, cand_id, cos."""
     affected = F.col("name_native") if affected is None else affected
-    with_key = records.withColumn("vk", name_variant_key(F.col("name_core"))).filter("vk <> ''")
-    a, b = sides(with_key.filter((F.col("src") == 1) | affected), "vk")
-    pairs = a.join(b, ["country", "vk"]).select(PAIR)
-    return best_per_record(pair_cosines(pairs, weights, "addr").filter(F.round("cos", 9) >= min_addr_cos), k)
+    with_key = records.withColumn("group", name_variant_key(F.col("name_core"))).filter("group <> ''")
+    a, b = sides(with_key.filter((F.col("src") == 1) | affected), "group")
+    return best_per_record(grouped_cosines(a, b, weights, "addr").filter(F.round("cos", 9) >= min_addr_cos), k)
 
 
 def vocabulary(records: DataFrame) -> DataFrame:
@@ -93,13 +92,13 @@ def corrections(records: DataFrame, min_sim: float = 75, min_length: int = 4, ne
 
 def typo_rescue(records: DataFrame, weights: DataFrame, fixes: DataFrame, k: int = 1, min_addr_cos: float = 0.05) -> DataFrame:
     """Records some of whose words are corrected, with the S1 of the same order-free key: by address if there is one, else only an S1 whose key is unique."""
-    a, _ = sides(records.withColumn("key", order_free(F.col("name_core"))), "key")
-    a = a.withColumn("owners", F.count("*").over(Window.partitionBy("country", "key")))
+    a, _ = sides(records.withColumn("group", order_free(F.col("name_core"))), "group")
     words = records.filter("src <> 1").select("country", F.col("entity_id").alias("cand_id"), "addr_empty", F.posexplode(tokens(F.col("name_core"))).alias("pos", "word")).join(fixes, ["country", "word"], "left")
-    fixed = words.groupBy("country", "cand_id", "addr_empty").agg(F.count("fixed").alias("n"), F.array_sort(F.collect_set(F.coalesce("fixed", "word"))).alias("ts")).filter("n > 0")
-    pairs = a.join(fixed.withColumn("key", joined(F.col("ts"))), ["country", "key"]).select(*PAIR, "addr_empty", "owners")
-    ok = F.when(F.col("addr_empty"), F.col("owners") == 1).otherwise(F.round("cos", 9) >= min_addr_cos)
-    return best_per_record(pair_cosines(pairs, weights, "addr").filter(ok), k).select(*PAIR, "cos")
+    fixed = words.groupBy("country", "cand_id", "addr_empty").agg(F.count("fixed").alias("n"), joined(F.array_sort(F.collect_set(F.coalesce("fixed", "word")))).alias("group")).filter("n > 0")
+    by_address = grouped_cosines(a, fixed.filter("not addr_empty"), weights, "addr").filter(F.round("cos", 9) >= min_addr_cos)
+    alone = a.groupBy("country", "group").agg(F.count("*").alias("owners"), F.min("s1_id").alias("s1_id")).filter("owners = 1")
+    by_name = alone.join(fixed.filter("addr_empty"), ["country", "group"]).select(*PAIR, F.lit(0.0).alias("cos"))
+    return best_per_record(by_address.union(by_name), k)
 
 
 def _margins(scores: DataFrame, min_cos: float, min_margin: float) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import keys as K
 from ..functions import normalize as N
 from ..functions import segment, similarity
 from ..functions import text as X
+from ..functions.tables import DIGRAPHS
 from ..operators import candidates as C
 from ..operators import context as W
 from ..operators import decide as P
@@ -22,7 +23,8 @@ from ..operators import simulate as E
 from ..operators import tfidf as T
 from ..runtime import written
 from ..sources import tsv
-from .fixtures import MAX_DF, Tables, order_free_sql, plain_sql, shaped, shaped_sql, tokens_sql, with_ctes
+from .fixtures import MAX_DF, Tables, order_free_sql, shaped, shaped_sql, tokens_sql, with_ctes
+from .normalize_sql import addresses_sql, fold_sql, names_sql
 
 PAIR = ["s1_id", "cand_id"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,17 +97,27 @@ def name_tokens_core(t: Tables) -> DataFrame:
     return N.with_name_features(t.read("customer").select(F.col("c_name").alias("name")), "name")
 
 
-@query("entity_id:i native:b non_latin:b folded:s", "", None)
+_SENTENCES = "SELECT doc_id AS entity_id, string_split_regex(coalesce(text, ''), '[\\n]')[1] AS raw FROM documents"
+_TEXTS = "SELECT doc_id AS entity_id, coalesce(text, '') AS raw FROM documents"
+
+
+@query("entity_id:i native:b non_latin:b folded:s", "", f"SELECT entity_id, regexp_matches(raw, '[^\\x00-\\x7F]') AS native, regexp_matches(raw, '[^\\x00-\\x{{024F}}\\x{{1E00}}-\\x{{1EFF}}]') AS non_latin, {fold_sql('raw')} AS folded FROM ({_TEXTS})")
 def name_fold(t: Tables) -> DataFrame:
     return t.read("documents").select(F.col("doc_id").alias("entity_id"), X.is_native(F.col("text")).alias("native"), X.is_non_latin(F.col("text")).alias("non_latin"), X.fold(F.col("text")).alias("folded"))
 
 
+@query("entity_id:i name_full:s name_core:s name_main:s name_alt:s name_legal:s name_concat:s name_native:b", "", "SELECT * FROM named", **names_sql(_SENTENCES))
+def name_features(t: Tables) -> DataFrame:
+    lines = t.read("documents").select(F.col("doc_id").alias("entity_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
+    return N.with_name_features(lines, "line")
+
+
 @query("page_id:i host:s site:s", "", r"SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, replace(regexp_extract(lower(url), '(?:www\.)?([a-z0-9\-]+)\.(?:com|net|org)\b', 1), '-', '') AS site FROM pages")
 def website_extract(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), F.replace(F.regexp_extract(F.lower("url"), r"(?:www\.)?([a-z0-9\-]+)\.(?:com|net|org)\b", 1), F.lit("-"), F.lit("")).alias("site"))
 
 
-@query("entity_id:i addr_tokens:s addr_words:s addr_nums:s addr_state:s addr_empty:b", "", None)
+@query("entity_id:i addr_tokens:s addr_words:s addr_nums:s addr_state:s addr_empty:b", "", "SELECT * FROM addressed", **addresses_sql(_TEXTS))
 def address_normalise(t: Tables) -> DataFrame:
     return N.with_address_features(t.read("documents").select(F.col("doc_id").alias("entity_id"), "text"), "text")
 
@@ -144,7 +156,17 @@ def _word_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.name_pairs, comps
 
 
-@query("country:s x:s y:s n:i", "", None)
+_LINKS = {
+    "comps": f"SELECT entity_id, country, list_distinct({tokens_sql('addr_words')}) AS c FROM records",
+    "cd": "SELECT a.country, list_filter(a.c, lambda z: NOT list_contains(b.c, z)) AS da, list_filter(b.c, lambda z: NOT list_contains(a.c, z)) AS db FROM name_pairs p JOIN comps a ON a.entity_id = p.s1_id JOIN comps b ON b.entity_id = p.cand_id WHERE len(a.c) > 0 AND len(b.c) > 0",
+    "single": "SELECT country, x, count(*) AS m FROM (SELECT country, unnest(list_concat(da, db)) AS x FROM cd) GROUP BY ALL",
+    "o1": "SELECT country, x, unnest(db) AS y FROM (SELECT country, unnest(da) AS x, db FROM cd)",
+    "cp": "SELECT country, x, y, count(*) AS n FROM (SELECT country, x, y FROM o1 UNION ALL SELECT country, y, x FROM o1) GROUP BY ALL",
+    "cb": "SELECT country, x, max(n) AS n, arg_min(y, (-n, y)) AS y FROM cp GROUP BY country, x",
+}
+
+
+@query("country:s x:s y:s n:i", "name_pairs", "SELECT country, x, y, n FROM cb JOIN single USING (country, x) WHERE n >= 2 AND n >= 0.5 * m", **_LINKS)
 def component_links(t: Tables) -> DataFrame:
     return L.component_links(*_word_sets(t), min_link=2, share=0.5)
 
@@ -260,7 +282,20 @@ def blocking_recall(t: Tables) -> DataFrame:
     return C.recall(C.generate(t.records, max_df=MAX_DF), t.name_pairs)
 
 
-@query("cand_id:i s1_id:i", "", None)
+_SPELLED = "z"
+for _a, _b in DIGRAPHS:
+    _SPELLED = f"replace({_SPELLED}, '{_a}', '{_b}')"
+_VARIANT = f"list_transform(list_transform({tokens_sql('name_core')}, lambda z: {_SPELLED}), lambda v: left(v, 1) || regexp_replace(substr(v, 2), '[aeiouy]+', '', 'g'))"
+_SQUEEZED = f"list_transform({_VARIANT}, lambda v: array_to_string(list_transform(list_filter(range(1, length(v) + 1), lambda i: i = 1 OR substr(v, i, 1) <> substr(v, i - 1, 1)), lambda i: substr(v, i, 1)), ''))"
+_VARIED = {"vk": f"SELECT entity_id, src, country, addr_empty, array_to_string(list_sort(list_distinct({_SQUEEZED})), ' ') AS vk FROM records"}
+
+
+@query("entity_id:i vk:s", "records", "SELECT entity_id, vk FROM vk", **_VARIED)
+def variant_keys(t: Tables) -> DataFrame:
+    return t.records.select("entity_id", X.name_variant_key(F.col("name_core")).alias("vk"))
+
+
+@query("cand_id:i s1_id:i", "records", "SELECT cand_id, s1_id FROM (SELECT c.*, row_number() OVER (PARTITION BY cand_id ORDER BY round(cos, 9) DESC, s1_id) AS rk FROM cosines c JOIN vk a ON a.entity_id = s1_id JOIN vk b ON b.entity_id = cand_id WHERE view = 'addr' AND a.vk = b.vk AND a.vk <> '' AND NOT b.addr_empty AND round(cos, 9) >= 0.05) WHERE rk = 1", **_WEIGHTS, **_VARIED)
 def rescue_variant_key(t: Tables) -> DataFrame:
     return C.variant_rescue(t.records, _weights(t), ~F.col("addr_empty"))
 

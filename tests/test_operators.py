@@ -247,6 +247,13 @@ def test_tsv_round_trip(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == {("S1_1", "S2_1,S3_1"), ("S1_2", "")}
 
 
+def test_tuned_rules_are_kept(scored, truth, s1, tmp_path):
+    path = str(tmp_path / "rule")
+    first = decide.kept_rule(decide.tune_threshold(scored, truth, s1), path).collect()
+    again = decide.kept_rule(decide.tune_threshold(scored, truth.limit(0), s1), path).collect()
+    assert first == again and len(first) == 1
+
+
 def test_integrity(spark, scored, s1):
     recs = spark.createDataFrame([(11,), (12,), (13,), (15,)], "cand_id long")
     bad = {r["rule"]: r["n"] for r in tsv.violations(s1.limit(3), recs, scored.filter("prob > 0.5"), scored).collect()}
