@@ -156,10 +156,15 @@ def diff_tokens(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return d.select(*pairs.columns, F.array_except(b, a).alias("extra"), F.array_except(a, b).alias("missing"))
 
 
+def _by_word(d: DataFrame, *columns: str) -> DataFrame:
+    """columns, role and tok of every extra and missing word, in one pass."""
+    marked = lambda r: F.transform(r, lambda t: F.struct(F.lit(r).alias("role"), t.alias("tok")))
+    return d.select(*columns, F.explode(F.concat(marked("extra"), marked("missing"))).alias("w")).select(*columns, "w.*")
+
+
 def word_stats(d: DataFrame) -> DataFrame:
     """fold, role, tok, n, pos of words of pairs (fold, label, extra, missing)."""
-    role = lambda r: d.select("fold", "label", F.lit(r).alias("role"), F.explode(r).alias("tok"))
-    return role("extra").unionByName(role("missing")).groupBy("fold", "role", "tok").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    return _by_word(d, "fold", "label").groupBy("fold", "role", "tok").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
 
 
 def word_risk(d: DataFrame, stats: DataFrame, prior: DataFrame) -> DataFrame:
@@ -168,8 +173,7 @@ def word_risk(d: DataFrame, stats: DataFrame, prior: DataFrame) -> DataFrame:
     stats: word_stats(); prior: fold, prior. Least and mean rate and count by role: -1, -1 and 0 without words; unseen words have the prior.
     """
     other = lambda t: t.withColumn("fold", 1 - F.col("fold"))
-    role = lambda r: d.select(*PAIR, "fold", F.lit(r).alias("role"), F.explode(r).alias("tok"))
-    each = role("extra").unionByName(role("missing")).join(other(stats), ["fold", "role", "tok"], "left").join(F.broadcast(other(prior)), "fold")  # two folds
+    each = _by_word(d, *PAIR, "fold").join(other(stats), ["fold", "role", "tok"], "left").join(F.broadcast(other(prior)), "fold")  # two folds
     rate = F.coalesce((F.col("pos") + PRIOR_WEIGHT * F.col("prior")) / (F.col("n") + PRIOR_WEIGHT), F.col("prior"))
     is_ = lambda r: F.when(F.col("role") == r, rate)
     made = each.groupBy(PAIR).agg(*(f(is_(r)).alias(f"f_{r}_{x}") for r in ("extra", "missing") for f, x in ((F.min, "rate_min"), (F.avg, "rate_mean"), (F.count, "n"))))

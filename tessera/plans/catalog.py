@@ -552,7 +552,7 @@ def diff_tokens(t: Tables) -> DataFrame:
 
 @query("s1_id:i cand_id:i f_extra_rate_min:f f_extra_rate_mean:f f_extra_n:i f_missing_rate_min:f f_missing_rate_mean:f f_missing_n:i", "edges", "SELECT d.s1_id, d.cand_id, " + ", ".join(f"coalesce({f}(rate) FILTER (WHERE role = '{r}'), {v}) AS f_{r}_{x}" for r in ("extra", "missing") for f, x, v in (("min", "rate_min", -1), ("avg", "rate_mean", -1), ("count", "n", 0))) + " FROM d LEFT JOIN rates USING (s1_id, cand_id) GROUP BY d.s1_id, d.cand_id", **_RISK)
 def word_risk_oof(t: Tables) -> DataFrame:
-    d = _labelled_pairs(t)
+    d = written(_labelled_pairs(t), "pairs")
     return Q.word_risk(d, Q.word_stats(d), d.groupBy("fold").agg(F.avg("label").alias("prior")))
 
 
