@@ -39,10 +39,10 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """Up to 2 * per_class labelled documents as (doc_id, y, text): of each class the rows with the lowest hashes of doc_id.
 
-    Rows of the held-out fifth and null ids or labels take no part; several labels of an id count as the largest.
-    The ids that are sent to the join are bounded by the two limits.
+    Rows of the held-out fifth and null ids or labels take no part; several labels of an id count as the largest, as do
+    several texts. The ids that are sent to the join are bounded by the two limits, and so is the result.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit(label)))
     one = [rows.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     ids = one[0].unionByName(one[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
