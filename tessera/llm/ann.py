@@ -107,14 +107,14 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
     centres = x[draw.choice(len(x), n, replace=False)]
     for _ in range(rounds):
         index.centres = centres
-        own = np.concatenate([index.nearest(x[a : a + 4096], 1)[:, 0] for a in range(0, len(x), 4096)])
+        own = np.concatenate([index.nearest(x[a : a + 1024], 1)[:, 0] for a in range(0, len(x), 1024)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         size = np.bincount(own, minlength=n)[:, None]
         centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
     index.centres, index.originals = centres, v[:ANCHORS]
     # In which place of a query's order of lists its true neighbours' lists are.
-    own = np.concatenate([index.nearest(turned[a : a + 4096], 1)[:, 0] for a in range(0, len(turned), 4096)])
+    own = np.concatenate([index.nearest(turned[a : a + 1024], 1)[:, 0] for a in range(0, len(turned), 1024)])
     q = index.turned(v[:TRIALS], True)
     far = squared(q, turned)
     far[np.arange(len(q)), np.arange(len(q))] = np.inf
