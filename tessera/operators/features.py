@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import SCORERS, pairwise
 from ..functions.text import fold_of, order_free, tokens
+from ..runtime import loose
 
 PAIR = ["s1_id", "cand_id"]
 RECORD = ["name_core", "name_main", "name_alt", "name_legal", "name_concat", "name_native", "addr_tokens", "addr_words", "addr_nums", "addr_state", "addr_empty"]
@@ -125,7 +126,7 @@ def rarity(records: DataFrame) -> DataFrame:
     out = d.select("entity_id", "country", "nk", "ak", "nnk")
     for key, name in (("nk", "name"), ("ak", "addr"), ("nnk", "namenum")):
         many = d.groupBy("country", key).agg(F.count_if(F.col("src") == 1).alias(f"{name}_s1"), F.count_if(F.col("src") != 1).alias(f"{name}_oth"))
-        out = out.join(many, ["country", key], "left")
+        out = out.join(loose(many), ["country", key], "left")
     return out.drop("nnk")
 
 
@@ -141,7 +142,7 @@ def name_owners(records: DataFrame) -> DataFrame:
     """cand_id, name_owners: how many S1 of its country have a record's order-free name, 0 if none."""
     keyed = records.select("entity_id", "country", "src", order_free(F.col("name_core")).alias("nk"))
     many = keyed.filter("src = 1").groupBy("country", "nk").agg(F.count("*").alias("name_owners"))
-    return keyed.filter("src <> 1").join(many, ["country", "nk"], "left").select(F.col("entity_id").alias("cand_id"), F.coalesce("name_owners", F.lit(0)).alias("name_owners"))
+    return keyed.filter("src <> 1").join(loose(many), ["country", "nk"], "left").select(F.col("entity_id").alias("cand_id"), F.coalesce("name_owners", F.lit(0)).alias("name_owners"))
 
 
 # Word risk
@@ -173,7 +174,7 @@ def word_risk(d: DataFrame, stats: DataFrame, prior: DataFrame) -> DataFrame:
     stats: word_stats(); prior: fold, prior. Least and mean rate and count by role: -1, -1 and 0 without words; unseen words have the prior.
     """
     other = lambda t: t.withColumn("fold", 1 - F.col("fold"))
-    each = _by_word(d, *PAIR, "fold").join(other(stats), ["fold", "role", "tok"], "left").join(F.broadcast(other(prior)), "fold")  # two folds
+    each = _by_word(d, *PAIR, "fold").join(loose(other(stats)), ["fold", "role", "tok"], "left").join(F.broadcast(other(prior)), "fold")  # two folds
     rate = F.coalesce((F.col("pos") + PRIOR_WEIGHT * F.col("prior")) / (F.col("n") + PRIOR_WEIGHT), F.col("prior"))
     is_ = lambda r: F.when(F.col("role") == r, rate)
     made = each.groupBy(PAIR).agg(*(f(is_(r)).alias(f"f_{r}_{x}") for r in ("extra", "missing") for f, x in ((F.min, "rate_min"), (F.avg, "rate_mean"), (F.count, "n"))))

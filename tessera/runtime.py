@@ -54,3 +54,12 @@ def clear(spark: SparkSession) -> None:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(_own(spark))
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def loose(df: DataFrame) -> DataFrame:
+    """An aggregated table for joins on its own keys, without its partitioning.
+
+    A join would otherwise take the aggregate's partitioning over, and adaptive execution could not split a key that holds
+    very many rows of the other side. The table itself has a row for each key.
+    """
+    return df.hint("rebalance")

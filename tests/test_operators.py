@@ -284,6 +284,15 @@ def test_streams(spark, records, tmp_path):
     assert {(r["entity_id"], r["s1_id"]) for r in linked.filter("s1_id is not null").collect()} == {(11, 1)}
 
 
+def test_joins_with_counts_can_be_split(spark, records):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = features.rarity(records)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 3 and plan.count("ENSURE_REQUIREMENTS") >= 6 + 3
+
+
 def test_written_tables_can_be_cleared(spark):
     from tessera import runtime
 
