@@ -108,6 +108,13 @@ def test_chunked_encoding_equals_one_call(chunk, overlap):
         assert resync.encode_whole(text, "byte_bpe_50k.json", chunk, overlap) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_remembered_pieces_give_the_counts_of_whole_texts():
+    tok = resync.tokenizer("byte_bpe_50k.json")
+    texts = [junk(k, n) for k in range(300) for n in (6, 60)] + [" a", "a ", "\n", "a\n", "\na b", "a\nb c", "", " ", "a  b", "a\t b", "a\u3000b c", "x\0y z", "'s 's", "it's <|endoftext|> now<|endoftext|>"]
+    assert resync.count_short(texts, "byte_bpe_50k.json") == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert resync.count_short(texts, "byte_bpe_50k.json") == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts(spark, docs_of, odd_rows):
     tok = resync.tokenizer("byte_bpe_50k.json")
     got = resync.count_tokens(docs_of(odd_rows), chunk=256, overlap=32).collect()
