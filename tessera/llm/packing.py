@@ -14,6 +14,7 @@ An empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,25 +28,30 @@ from pyspark.sql import functions as F
 from .common import map_arrow, strings, written
 from .resync import tokenizer
 
-#: Words that a process remembers; then it starts anew. Long ones are not remembered.
-CACHE, CACHE_LENGTH = 1_000_000, 32
+#: Words and parts of words that a process remembers; then it starts anew. Long ones are not remembered.
+CACHE, CACHE_LENGTH = 1_500_000, 32
 _by_file: dict[str, dict[str, bytes]] = {}
 #: Stands between words that are encoded in one call: a pre-token and an id of its own.
 _BETWEEN = "\x01"
+#: Latin letters, then ASCII marks but the apostrophe: the tokenizer's pattern parts such a word there, and lowers its letters.
+_PARTED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ıĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
-def _encode_new(words: list[str], file: str) -> dict[str, bytes]:
-    """ids of words without blanks, many to a call."""
-    tok, out = tokenizer(file), {}
+def _encode_new(words: list[str], file: str, known: dict[str, bytes]) -> dict[str, bytes]:
+    """ids of words without blanks, from those of their letters and marks, many of these to a call."""
+    tok = tokenizer(file)
     mark = tok.encode(_BETWEEN, add_special_tokens=False).ids
-    plain = [w for w in words if _BETWEEN not in w] if len(mark) == 1 else []
+    parts = {w: (m[1].lower(), m[2]) if (m := _PARTED(w)) else (w, "") for w in words}
+    new = {x for ps in parts.values() for x in ps}.difference(known)
+    plain = [x for x in new if _BETWEEN not in x] if len(mark) == 1 else []
+    own = {x: np.asarray(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in new.difference(plain)}
     groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
     for ws, e in zip(groups, tok.encode_batch_fast([f" {_BETWEEN} ".join(ws) for ws in groups], add_special_tokens=False), strict=True):
         ids = np.asarray(e.ids, "<u4")
         raw, at = ids.tobytes(), [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
-        out |= {w: raw[4 * a + 4 : 4 * b] for w, a, b in zip(ws, at[:-1], at[1:], strict=True)}
-    rest = words if not plain else [w for w in words if _BETWEEN in w]
-    return out | {w: np.asarray(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in rest}
+        own |= {w: raw[4 * a + 4 : 4 * b] for w, a, b in zip(ws, at[:-1], at[1:], strict=True)}
+    known.update((x, ids) for x, ids in own.items() if len(x) <= CACHE_LENGTH)
+    return {w: (own[a] if a in own else known[a]) + (own[b] if b in own else known[b]) for w, (a, b) in parts.items()}
 
 
 def _ids(texts: list[str], file: str) -> list[bytes]:
@@ -60,7 +66,7 @@ def _ids(texts: list[str], file: str) -> list[bytes]:
     words = [t.replace("\n", " ").split(" ") for t in texts]
     found = [list(map(known.get, ws)) for ws in words]
     gaps = [[i for i, x in enumerate(xs) if x is None] if None in xs else [] for xs in found]
-    fresh = _encode_new(list({ws[i] for ws, g in zip(words, gaps, strict=True) for i in g}), file)
+    fresh = _encode_new(list({ws[i] for ws, g in zip(words, gaps, strict=True) for i in g}), file, known)
     known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
     for ws, xs, g in zip(words, found, gaps, strict=True):
         for i in g:
