@@ -23,13 +23,21 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)["']?[ \t]{0,4}(?:[:=]|=>|:=)[ \t]{0,4}["']?([^\s"'<>,;]+)""", re.I | re.A)
+_CONTEXT = re.compile(
+    r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)"""
+    r"""["']?[ \t]{0,4}(?:[:=]|=>|:=)[ \t]{0,4}["']?(?:(?:bearer|basic|digest|token)[ \t]{1,4})?([^\s"'<>,;]+)""",
+    re.I | re.A,
+)
+#: The longest credential word with its separator: as much of a value's end may begin the next context.
+_HEAD = len("authorization:=")
 _HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "auth", "bearer")
 
 #: Common parts of passwords, the most common first; a word's place is its number of guesses.
 WORDS = "password pass qwerty letmein admin welcome login monkey dragon master hello freedom whatever trust love sunshine princess football baseball shadow michael jordan superman batman secret summer winter spring autumn monday friday test guest root user changeme default temp access flower orange apple banana cookie pepper ginger silver golden diamond computer internet server system service database account private public company office home family money happy lucky angel baby star blue red green black white the and for you token key api dev prod demo sample example".split()
 
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+#: One-case letters of this many or more aren't taken for a word of prose.
+LONG_WORD = 12
 _LEET = str.maketrans("013457@$!", "oieastasi")
 
 
@@ -144,21 +152,37 @@ def _classes(value: str) -> int:
     return any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
 
 
+def _prose(value: str) -> bool:
+    """Letters of one kind, as words of prose have: fewer than LONG_WORD, or not ASCII (scripts without spaces or capitals)."""
+    return any(c.isalpha() for c in value) and (len(value) < LONG_WORD or not value.isascii())
+
+
+def _guesses(text: str, min_log10: float, min_length: int, min_classes: int) -> Iterator[tuple[str, int, int]]:
+    at = done = 0
+    while m := _CONTEXT.search(text, at):
+        # A value's end may be the next context ("secret: password: ..."). A tail of a value is no value of its own: whoever
+        # guesses the value has it.
+        at = max(m.start(1), m.end(1) - _HEAD)
+        if m.end(1) <= done:
+            continue
+        done = m.end(1)
+        value = m[1].rstrip(".!?)]}")
+        if len(value) >= min_length and (_classes(value) >= min_classes or not _prose(value)) and guess_cost(value) >= min_log10:
+            yield "guess", m.start(1), m.start(1) + len(value)
+
+
 def scan(text: str, min_log10: float = 7.0, min_length: int = 6, min_classes: int = 2) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, by start, then kind as listed in KINDS.
 
     assign, access and hex are leftmost and do not overlap within their kind. A guess span is a credential-context
-    value of min_length characters or more and of min_classes kinds of characters (words of prose have one) which
-    takes 10 ** min_log10 guesses or more.
+    value of min_length characters or more which takes 10 ** min_log10 guesses or more; a value of fewer than min_classes
+    kinds of characters only if it isn't like a word of prose.
     """
     low = text.lower()
     found = []
     if any(h in low for h in _HINTS):
         found += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-        for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?)]}")
-            if len(value) >= min_length and _classes(value) >= min_classes and guess_cost(value) >= min_log10:
-                found.append(("guess", m.start(1), m.start(1) + len(value)))
+        found += _guesses(text, min_log10, min_length, min_classes)
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]

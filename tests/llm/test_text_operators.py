@@ -79,6 +79,29 @@ def test_short_values_after_credential_words_are_found_and_prose_is_not():
     assert secrets.scan("the password: password and token = thoroughly") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("pwd=qzxkvjwpmtrlhgnd", "qzxkvjwpmtrlhgnd"), ("pin: 8392017465", "8392017465"), ("token=84720193847.", "84720193847"),
+        ("dbPassword=Xk9#mQ2z", "Xk9#mQ2z"), ("myDBPassword: Xk9#mQ2z", "Xk9#mQ2z"), ("Authorization: Bearer Xk9#mQ2z", "Xk9#mQ2z"),
+        ("secret: password: Xk9#mQ2z", "Xk9#mQ2z"), ('"auth": "Basic dXNlcjpw"', "dXNlcjpw"),
+    ],
+)
+def test_values_of_one_class_and_in_nested_contexts_are_found(text, value):
+    assert [text[s:e] for k, s, e in secrets.scan(text) if k == "guess"] == [value]
+
+
+def test_a_found_value_may_end_in_the_next_context():
+    text = "secret=Xk9#mQ2z|password: Zq7!pL0x"
+    assert [text[s:e] for k, s, e in secrets.scan(text) if k == "guess"] == ["Xk9#mQ2z|password:", "Zq7!pL0x"]
+
+
+def test_words_dates_and_repeats_after_credential_words_are_not_found():
+    for text in ("pin: 12051984", "token: 111111111111", "auth: basic training", "Authorization: Bearer token", "password: ****************", "shopPin= thoroughly", "spin=84720193847", "token: これは長い日本語の文章です。"):
+        assert not [s for s in secrets.scan(text) if s[0] == "guess"], text
+    assert len(secrets.scan("pin=" * 5_000)) == 1
+
+
 def test_secret_query_columns(spark, docs_of, odd_rows):
     texts = odd_rows + [(100 + k, t) for k, t in enumerate(SECRET_TEXTS)]
     got = secrets.digest(secrets.find_secrets(docs_of(texts))).collect()
