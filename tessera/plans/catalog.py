@@ -21,7 +21,7 @@ from ..operators import model as M
 from ..operators import retrieval as D
 from ..operators import simulate as E
 from ..operators import tfidf as T
-from ..runtime import written
+from ..runtime import loose, written
 from ..sources import tsv
 from .fixtures import MAX_DF, Tables, order_free_sql, shaped, shaped_sql, tokens_sql, with_ctes
 from .normalize_sql import addresses_sql, fold_sql, names_sql
@@ -134,10 +134,10 @@ def vocab_counts(t: Tables) -> DataFrame:
 
 @query("page_id:i words:s", "", None)
 def viterbi_segment(t: Tables) -> DataFrame:
-    # The vocabulary is of words seen three times or more, the 100,000 most frequent at most: a model of bounded size.
-    counts = L.word_counts(t.records.withColumns({"name_concat": F.lit(""), "name_native": F.lit(False)})).orderBy(F.desc("n"), "w").limit(100_000)
-    host = F.get(F.split(F.regexp_extract("url", "^https?://([^/?#]*)", 1), r"\."), F.lit(0))
-    return t.read("pages").select("page_id", X.joined(segment.segmented(host, {r["w"]: r["n"] for r in counts.collect()})).alias("words"))
+    counts = L.word_counts(t.records.withColumns({"name_concat": F.lit(""), "name_native": F.lit(False)}))
+    host = F.coalesce(F.get(F.split(F.regexp_extract("url", "^https?://([^/?#]*)", 1), r"\."), F.lit(0)), F.lit(""))
+    pages = t.read("pages").select("page_id", host.alias("text"))
+    return pages.join(loose(segment.segmented_by_table(pages, counts)), "text").select("page_id", X.joined("words").alias("words"))
 
 
 _ALIGNED = "SELECT a[i] AS x, b[i] AS y FROM (SELECT a, b, unnest(range(1, len(a) + 1)) AS i FROM (SELECT string_split(x.name_full, ' ') AS a, string_split(y.name_core, ' ') AS b FROM name_pairs p JOIN records x ON x.entity_id = p.cand_id JOIN records y ON y.entity_id = p.s1_id) WHERE len(a) = len(b))"

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.segment import Segmenter, segmented_by_table
 from tessera.operators import candidates, context, decide, features, learn, model, retrieval, simulate, tfidf
+from tessera.plans import catalog
 from tessera.sources import tsv
 from tessera.streaming import linkage
 
@@ -314,3 +316,19 @@ def test_entry_point_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and json.dumps(sorted(entry.queries()))
+
+
+def test_segmentation_under_more_words_than_a_driver_should_hold(spark, tmp_path):
+    """100,002 words seen three times: the last by name count as all others do."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters[:25] for b in letters for c in letters for d in letters][:100_000] + ["zzgreen", "zzfood"]
+    docs = [(i, " ".join(words), "en") for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(1, "http://zzgreenzzfood.com/"), (2, "http://zzfoodzzgreen.org/x"), (3, "https://zzgreenzzfood.net"), (4, "http://short.com"), (5, "no host"), (6, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["words"] for r in catalog.QUERIES["viterbi_segment"](spark, str(tmp_path)).collect()}
+    assert got == {1: "zzgreen zzfood", 2: "zzfood zzgreen", 3: "zzgreen zzfood", 4: "short", 5: "", 6: ""}
+    whole = Segmenter(dict.fromkeys(words, 3))
+    texts = ["zzgreenzzfood", "abcdbcdexyz", "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq", "ünïcödeabcd", "", "tiny"]
+    rows = segmented_by_table(spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "text string"), spark.createDataFrame([(w, 3) for w in words], "w string, n long")).collect()
+    assert {r["text"]: r["words"] for r in rows} == {t: whole.split(t) for t in texts} and len(rows) == len(texts)
