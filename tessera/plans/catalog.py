@@ -32,9 +32,12 @@ ORACLES: dict[str, str] = {}
 
 
 def query(spec: str, ctes: str = "", body: str | None = None, **more: str):
-    """Registers a function of Tables under its name. spec: the result's columns; body: SQL behind the expressions ctes and more."""
+    """Registers a function of Tables under its name. spec: the result's columns; body: SQL behind the expressions ctes and more.
+    What reads weights by the SQL's MAX_DF is registered as NAME_whole too, by the operators' own limit and without SQL."""
 
     def register(f: Callable[[Tables], DataFrame]):
+        if "w" in more:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, folder: shaped(f(Tables(spark, folder, C.MAX_DF)), spec)
         QUERIES[f.__name__] = lambda spark, folder: shaped(f(Tables(spark, folder)), spec)
         if body:
             ORACLES[f.__name__] = shaped_sql(with_ctes(ctes, body, **more), spec)
@@ -248,12 +251,12 @@ _WEIGHTS = {
 
 def _weights(t: Tables, records: DataFrame | None = None) -> DataFrame:
     """Weights of all views as a table, for queries that read them several times."""
-    return written(T.postings(records or t.records, C.views(), MAX_DF), "postings")
+    return written(T.postings(records or t.records, C.views(), t.max_df), "postings")
 
 
 @query("country:s view:s id:i side:i key:s w:f", "records", "SELECT * FROM w", **_WEIGHTS)
 def tfidf_weights(t: Tables) -> DataFrame:
-    return T.postings(t.records, C.views(), MAX_DF)
+    return T.postings(t.records, C.views(), t.max_df)
 
 
 @query("s1_id:i cand_id:i cos:f", "records", "SELECT * FROM comb", **_WEIGHTS)
@@ -263,7 +266,7 @@ def comb_cosine(t: Tables) -> DataFrame:
 
 @query("s1_id:i cand_id:i cos:f rk:i", "records", "SELECT * FROM (SELECT s1_id, cand_id, cos, row_number() OVER (PARTITION BY s1_id ORDER BY round(cos, 9) DESC, cand_id) AS rk FROM cosines WHERE view = 'name' AND round(cos, 9) >= 0.02) WHERE rk <= 5", **_WEIGHTS)
 def topk_forward_name(t: Tables) -> DataFrame:
-    return T.top_k(T.cosines(written(T.postings(t.records, {"name": C.views()["name"]}, MAX_DF), "postings")), "s1_id", 5)
+    return T.top_k(T.cosines(written(T.postings(t.records, {"name": C.views()["name"]}, t.max_df), "postings")), "s1_id", 5)
 
 
 @query("s1_id:i cand_id:i cos:f rk:i", "records", "SELECT * FROM (SELECT s1_id, cand_id, cos, row_number() OVER (PARTITION BY cand_id ORDER BY round(cos, 9) DESC, s1_id) AS rk FROM comb WHERE round(cos, 9) >= 0.02) WHERE rk <= 2", **_WEIGHTS)
@@ -274,12 +277,12 @@ def topk_reverse_comb(t: Tables) -> DataFrame:
 @query("s1_id:i cand_id:i blk_name:f blk_addr:f blk_cross:f blk_comb:f", "records", """SELECT p.s1_id, p.cand_id, coalesce(max(CASE WHEN view = 'name' THEN c.cos END), 0) AS blk_name, coalesce(max(CASE WHEN view = 'addr' THEN c.cos END), 0) AS blk_addr,
     coalesce(max(CASE WHEN view = 'cross' THEN c.cos END), 0) AS blk_cross, coalesce(max(b.cos), 0) AS blk_comb FROM top p LEFT JOIN cosines c USING (s1_id, cand_id) LEFT JOIN comb b USING (s1_id, cand_id) GROUP BY p.s1_id, p.cand_id""", **_WEIGHTS)
 def candidate_union(t: Tables) -> DataFrame:
-    return C.generate(t.records, max_df=MAX_DF)
+    return C.generate(t.records, max_df=t.max_df)
 
 
 @query("n_true:i n_found:i recall:f", "records name_pairs", "SELECT count(*) AS n_true, count(t.s1_id) AS n_found, count(t.s1_id) / count(*) AS recall FROM name_pairs p LEFT JOIN top t USING (s1_id, cand_id)", **_WEIGHTS)
 def blocking_recall(t: Tables) -> DataFrame:
-    return C.recall(C.generate(t.records, max_df=MAX_DF), t.name_pairs)
+    return C.recall(C.generate(t.records, max_df=t.max_df), t.name_pairs)
 
 
 _SPELLED = "z"

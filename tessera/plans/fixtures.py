@@ -22,8 +22,8 @@ MAX_DF = 200
 class Tables:
     """The stand-ins over one folder of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, max_df: int = MAX_DF):
+        self.spark, self.folder, self.max_df = spark, folder, max_df
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -1,6 +1,8 @@
 """Properties of linkage operators on small tables, file round trips, plans and streams."""
 
 import json
+import math
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,3 +334,56 @@ def test_segmentation_under_more_words_than_a_driver_should_hold(spark, tmp_path
     texts = ["zzgreenzzfood", "abcdbcdexyz", "qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq", "ünïcödeabcd", "", "tiny"]
     rows = segmented_by_table(spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "text string"), spark.createDataFrame([(w, 3) for w in words], "w string, n long")).collect()
     assert {r["text"]: r["words"] for r in rows} == {t: whole.split(t) for t in texts} and len(rows) == len(texts)
+
+
+def brute_cosines(spark, folder):
+    """(s1_id, cand_id) -> cosine by view, and of all views, from the keys of every record."""
+    views = {"name": "name_keys", "addr": "addr_keys", "cross": "cross_keys"}
+    records = {r["entity_id"]: r for r in catalog.QUERIES["source_union"](spark, folder).collect()}
+    n = Counter(r["country"] for r in records.values())
+    weights = defaultdict(dict)
+    for view, name in views.items():
+        tf = defaultdict(dict)
+        for r in catalog.QUERIES[name](spark, folder).collect():
+            tf[r["entity_id"]][r["key"]] = r["n"]
+        df = Counter((records[i]["country"], k) for i, keys in tf.items() for k in keys)
+        for i, keys in tf.items():
+            c = records[i]["country"]
+            w = {k: (1 + math.log(m)) * (math.log((n[c] + 1) / (df[c, k] + 1)) + 1) for k, m in keys.items()}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            weights[i][view] = {k: x / norm for k, x in w.items()}
+    out = {}
+    for a in (i for i in weights if records[i]["src"] == 1):
+        for b in (i for i in weights if records[i]["src"] != 1 and records[i]["country"] == records[a]["country"]):
+            shared = {v: set(weights[a].get(v, ())) & set(weights[b].get(v, ())) for v in views}
+            if any(shared.values()):
+                cos = {v: sum(weights[a][v][k] * weights[b][v][k] for k in ks) for v, ks in shared.items() if ks}
+                out[a, b] = cos | {"comb": sum(cos.values()) / math.sqrt(len(weights[a]) * len(weights[b]))}
+    return out
+
+
+def brute_top(scores, view, side, k):
+    by = defaultdict(list)
+    for p, cos in scores.items():
+        if view in cos and round(cos[view], 9) >= 0.02:
+            by[p[side]].append((-round(cos[view], 9), p[1 - side], p))
+    return {p for rows in by.values() for _, _, p in sorted(rows)[:k]}
+
+
+def test_blocking_queries_by_the_operators_limit_equal_brute_force(spark, tmp_path):
+    """260 records of a language share all keys of a name: more than the limit of the SQL, fewer than that of the operators."""
+    odd = {i: f"harbour supply {w}.\nx\n{i % 40} quay road" for i, w in enumerate(["north", "south", "east", "west"] * 5)}
+    docs = [(i, odd.get(i, "harbour supply."), "en") for i in range(280)] + [(300 + i, "harbour supply.", "fr") for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = str(tmp_path)
+    scores = brute_cosines(spark, folder)
+    got = {(r["s1_id"], r["cand_id"]): r["cos"] for r in catalog.QUERIES["comb_cosine_whole"](spark, folder).collect()}
+    assert got == pytest.approx({p: cos["comb"] for p, cos in scores.items()}, abs=2e-6)
+    top = brute_top(scores, "name", 0, 5) | brute_top(scores, "addr", 0, 5) | brute_top(scores, "comb", 0, 15) | brute_top(scores, "comb", 1, 2)
+    rows = {(r["s1_id"], r["cand_id"]): r for r in catalog.QUERIES["candidate_union_whole"](spark, folder).collect()}
+    assert set(rows) == top
+    for p, r in rows.items():
+        assert [r[f"blk_{v}"] for v in ("name", "addr", "cross", "comb")] == pytest.approx([scores[p].get(v, 0.0) for v in ("name", "addr", "cross", "comb")], abs=2e-6)
+    plain = {i for i, t, _ in docs if t == "harbour supply."}
+    assert any(a in plain and b in plain for a, b in rows)
+    assert not any(r["s1_id"] in plain and r["cand_id"] in plain and r["s1_id"] < 300 for r in catalog.QUERIES["candidate_union"](spark, folder).collect())
