@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_arrow, strings, written
 from .components import connected_components
@@ -119,7 +120,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """documents without those that have a smaller doc_id in their group. Rows that repeat a doc_id count as one document,
-    of which one row stays; rows without doc_id stay."""
-    gone = near_duplicates(docs, words, radius).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    of which one row stays: one whose own text has no smaller doc_id in its group, if there is any. Rows without doc_id stay."""
+    found = near_duplicates(docs, words, radius).filter("doc_id is not null").select("doc_id", "f", (F.col("component_id") != F.col("doc_id")).alias("gone"))
+    found = written(found.distinct(), "found")
+    ids = found.groupBy("doc_id").agg(F.bool_and("gone").alias("whole"), F.bool_or("gone").alias("part")).filter("part")
+    # Texts under one doc_id that differ in whether they go are few: only they are fingerprinted again.
+    mixed = ids.filter("not whole").select("doc_id")
+    known = docs.filter("doc_id is not null")
+    kept = known.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    some = _with_fingerprint(known.join(mixed, "doc_id", "left_semi").select(docs.columns), words)
+    some = some.join(found.filter("not gone").select("doc_id", F.col("f").alias("_f")), ["doc_id", "_f"], "left_semi").select(docs.columns)
+    return kept.unionByName(some).dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def _with_fingerprint(docs: DataFrame, words: int) -> DataFrame:
+    """docs with the fingerprint of text as _f."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.asarray([fingerprint(t, words) for t in strings(b, at)], np.uint64).astype(np.int64)
+            yield pa.record_batch([*b.columns, pa.array(f)], [*b.schema.names, "_f"])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_f", LongType())]))

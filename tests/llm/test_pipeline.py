@@ -59,3 +59,11 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_a_text_without_copy_stays_where_its_doc_id_has_another_text(spark, docs_of):
+    draw = random.Random(5)
+    a, b, c, d = (prose(draw, 60) for _ in range(4))
+    rows = [(1, a), (7, a), (7, b), (8, a), (8, a), (9, c), (9, c), (10, d), (None, a)]
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(1, a), (7, b), (9, c), (10, d), (None, a)], key=str)
