@@ -861,14 +861,14 @@ def reused_logits(t: Tables) -> DataFrame:
 @query("s1_id:i cand_id:i prob:f")
 def gbt_crossfit(t: Tables) -> DataFrame:
     rows = Q.with_fold(Q.with_label(W.prob_context(t.scored), t.truth))
-    return M.crossfit(rows, ["prob", "p1_rank_cand", "p1_rank_s1", "p1_margin_cand", "p1_sum_cand", "p1_n_high_s1"], rounds=10, depth=4)
+    return M.crossfit(rows, ["prob", "p1_rank_cand", "p1_rank_s1", "p1_margin_cand", "p1_sum_cand", "p1_n_high_s1"])
 
 
 @query("s1_id:i cand_id:i ce_logit:f")
 def pair_scorer(t: Tables) -> DataFrame:
     text = t.attributes.select(F.col("cand_id").alias("id"), M.pair_text(F.col("name"), F.col("address")).alias("text"))
     pairs = Q.with_fold(Q.with_label(M.uncertain(t.scored), t.truth)).join(text.select(F.col("id").alias("s1_id"), F.col("text").alias("text_a")), "s1_id").join(text.select(F.col("id").alias("cand_id"), F.col("text").alias("text_b")), "cand_id")
-    return M.score_pairs(pairs, dims=256)
+    return M.score_pairs(pairs)
 
 
 @query("s1_id:i cand_id:i rk_rank:i rk:f rk_gap:f")
@@ -879,5 +879,5 @@ def owner_ranker(t: Tables) -> DataFrame:
 
 @query("s1_id:s cand_id:i cos:f rk:i")
 def embedded_names(t: Tables) -> DataFrame:
-    vec = D.embed(t.read("part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("country"), "p_name"), "p_name", D.hashed_ngrams(64))
+    vec = D.embed(t.read("part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("country"), "p_name"), "p_name", D.hashed_ngrams())
     return D.top2(vec.filter("id % 3 <> 0"), vec.filter("id % 3 = 0")).withColumn("cand_id", F.col("cand_id").cast("long"))

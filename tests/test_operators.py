@@ -387,3 +387,22 @@ def test_blocking_queries_by_the_operators_limit_equal_brute_force(spark, tmp_pa
     plain = {i for i, t, _ in docs if t == "harbour supply."}
     assert any(a in plain and b in plain for a, b in rows)
     assert not any(r["s1_id"] in plain and r["cand_id"] in plain and r["s1_id"] < 300 for r in catalog.QUERIES["candidate_union"](spark, folder).collect())
+
+
+def test_model_queries_use_the_operators_defaults(spark, monkeypatch):
+    seen = {}
+
+    def stop(name):
+        def run(*a, **k):
+            seen[name] = (len(a), k)
+            raise InterruptedError
+
+        return run
+
+    monkeypatch.setattr(catalog.M, "crossfit", stop("gbt_crossfit"))
+    monkeypatch.setattr(catalog.M, "score_pairs", stop("pair_scorer"))
+    monkeypatch.setattr(catalog.D, "hashed_ngrams", stop("embedded_names"))
+    for name in ("gbt_crossfit", "pair_scorer", "embedded_names"):
+        with pytest.raises(InterruptedError):
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"gbt_crossfit": (2, {}), "pair_scorer": (1, {}), "embedded_names": (0, {})}
