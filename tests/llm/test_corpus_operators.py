@@ -193,6 +193,52 @@ def test_toxicity_finds_single_words_in_held_out_documents(spark, docs_of, odd_r
     assert {r["score"] for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
+def random_model(seed):
+    draw = np.random.default_rng(seed)
+    table = draw.normal(0, 1, (3 * toxicity.BUCKETS + 1, toxicity.DIMS)).astype(np.float32)
+    table[-1] = 0
+    filters = [draw.normal(0, 1, (w, toxicity.DIMS, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = [draw.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    return toxicity.Model(table, filters, bias, draw.normal(0, 1, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32), 0.1, draw.normal(0, 1, len(toxicity.LANGUAGES)))
+
+
+def brute_score(model, text):
+    """The convolution word by word: every window that begins at a word of the text, with zeros past its end."""
+    ws = toxicity.words(text)
+    x = [model.table[list(toxicity.buckets(w))].astype(float).sum(axis=0) for w in ws] or [np.zeros(toxicity.DIMS)]
+    z = model.base
+    for k, (f, b) in enumerate(zip(model.filters, model.bias, strict=True)):
+        for n in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + j] @ f[j, :, n]) for j in range(len(f)) if i + j < len(x)) + b[n] for i in range(len(x)))
+            z += max(best, 0) * model.out[k * toxicity.FILTERS + n]
+    z -= model.thresholds[toxicity.language(ws)]
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_toxicity_equals_a_direct_convolution_in_any_company(seed, odd_rows, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 40)  # long texts are parted, batches are run in several pieces
+    draw, model = random.Random(seed), random_model(seed)
+    texts = [prose(draw, n) for n in (1, 2, 3, 38, 39, 40, 41, 42, 79, 80, 81, 200)] + [t or "" for _, t in odd_rows] + ["", "die und", "the of the"]
+    texts = [t if len(t) < 3000 else t[:3000] for t in texts]
+    alone = np.concatenate([toxicity.Scorer(model).scores([t]) for t in texts])
+    assert np.allclose(alone, [brute_score(model, t) for t in texts], atol=1e-4)
+    scorer = toxicity.Scorer(model)
+    for _ in range(6):
+        order = draw.sample(range(len(texts)), len(texts))
+        assert np.array_equal(scorer.scores([texts[i] for i in order]), alone[order])
+
+
+def test_toxicity_of_training_batches_equals_a_direct_convolution(odd_rows):
+    draw, model = random.Random(1), random_model(9)
+    texts = [prose(draw, n) for n in (1, 2, 30)] + [t[:2000] for _, t in odd_rows if t] + ["", ""]
+    rows = [np.asarray([toxicity.buckets(w) for w in toxicity.words(t)], np.int32).reshape(-1, 3) for t in texts]
+    ids, starts, dead = toxicity._joined(rows)
+    logits = model.logits(model.pooled(model.parts(model.table[ids].sum(axis=1)), starts, dead)[0])
+    model.thresholds[:] = 0
+    assert np.allclose(1 / (1 + np.exp(-logits)), [brute_score(model, t) for t in texts], atol=1e-4)
+
+
 # Nearest neighbours
 
 
