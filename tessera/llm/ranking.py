@@ -2,12 +2,13 @@
 
 Preference pairs set a labelled good document above a labelled bad one. The probability that one beats the other is the
 logistic function of the difference of their scores, linear in the features; the weights minimise the logistic loss over
-feature differences. A document is good if its score reaches the quantile of the training scores that parts the
-labelled classes best; the score that is returned puts this threshold at 0.3.
+feature differences. A document is good if its score reaches a quantile of the training scores; the score that is returned puts
+this threshold at 0.3. The quantile, and how much the frequencies of short texts count, are chosen by cross-validation
+within the training documents: folds are fitted without the documents that they are judged on.
 
 Features are of the text alone: byte frequencies, transitions between classes of bytes, and repetition and shape of
 words and lines. The fit sees a bounded sample of labelled documents, PER_CLASS of each class at most; scoring is one
-narrow pass over whole texts. Frequencies of short texts count less. Null and empty texts have the features of an empty text. Without documents of both
+narrow pass over whole texts. Null and empty texts have the features of an empty text. Without documents of both
 classes all scores are 0.5. Repeated rows give repeated results; only the id and text columns are read.
 """
 
@@ -40,16 +41,19 @@ def _classes() -> np.ndarray:
     return of
 
 
-CLASS, N_CLASSES = _classes(), 11
-SIZE = 256 + N_CLASSES**2 + 12
-#: Texts of so many bytes count half as sure in their byte and transition frequencies, which are drawn towards the mean.
-SHORT = 200
+CLASS, N_CLASSES, SHAPES = _classes(), 11, 11
+SIZE = 256 + N_CLASSES**2 + SHAPES
+#: Candidates for the length in bytes at which byte and transition frequencies count half; shorter texts' are drawn towards the mean.
+SHORT = (0, 50, 200, 800)
+#: Folds of the cross-validation, and steps of a fit within it and of the whole one.
+FOLDS, TRIAL_ROUNDS, ROUNDS = 4, 100, 300
 
 
-def _steadied(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Differences from the mean, the frequencies' share of it growing with the length that the last feature tells."""
+def _steadied(x: np.ndarray, mean: np.ndarray, short: float) -> np.ndarray:
+    """Differences from the mean; that of the frequencies grows with the length, whose logarithm the first shape feature tells."""
     d = x - mean
-    d[:, :-12] *= x[:, -1:]
+    size = np.expm1(x[:, -SHAPES] * 10)
+    d[:, :-SHAPES] *= (size / np.maximum(size + short, 1))[:, None]
     return d
 
 
@@ -67,7 +71,7 @@ def features(text: str) -> np.ndarray:
     words, lines = text.split(), [x for x in text.split("\n") if x]
     n, m = max(1, len(words)), max(1, len(lines))
     pairs = set(zip(words, words[1:], words[2:], strict=False))
-    out[-12:] = (
+    out[-SHAPES:] = (
         np.log1p(len(raw)) / 10,
         np.log1p(len(words)) / 10,
         len(raw) / n / 20,
@@ -79,7 +83,6 @@ def features(text: str) -> np.ndarray:
         len(words) / n,
         1.0 if raw[-1:] in b".!?" else 0.0,
         len(set(words[:50])) / max(1, len(words[:50])),
-        len(raw) / (len(raw) + SHORT),
     )
     return out
 
@@ -91,11 +94,12 @@ class Ranker:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
-    threshold: float
-    scale: float
+    short: float
+    threshold: float = 0.0
+    scale: float = 1.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (_steadied(x, self.mean) / self.spread) @ self.weights
+        return (_steadied(x, self.mean, self.short) / self.spread) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, THRESHOLD at the raw threshold."""
@@ -103,34 +107,68 @@ class Ranker:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, rounds: int = 300, penalty: float = 1e-3, seed: int = 7) -> Ranker | None:
-    """Bradley-Terry weights from preference pairs drawn by seed; None without both classes."""
+def loss(z: np.ndarray, over: np.ndarray, under: np.ndarray, w: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The mean of log(1 + exp(-(z_over - z_under) w)) over the pairs plus penalty / 2 |w|^2, and its gradient by w."""
+    s = z @ w
+    ahead = s[over] - s[under]
+    lost = 1 / (1 + np.exp(np.clip(ahead, -500, 500)))
+    pull = np.bincount(over, lost, len(z)) - np.bincount(under, lost, len(z))
+    return float(np.logaddexp(0, -ahead).mean() + penalty / 2 * w @ w), penalty * w - z.T @ pull / len(over)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, short: float, pairs: int, rounds: int, penalty: float, seed: int) -> Ranker:
+    """Weights from pairs drawn by seed, by accelerated gradient descent on loss()."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return None
     mean = x.mean(axis=0)
-    z = _steadied(x, mean)
+    z = _steadied(x, mean, short)
     spread = z.std(axis=0) + 1e-3
     z /= spread
     draw = np.random.default_rng(seed)
     over, under = draw.choice(good, pairs), draw.choice(bad, pairs)
-    # Accelerated gradient descent on mean log(1 + exp(-(z_over - z_under) w)) + penalty / 2 |w|^2.
     w = v = np.zeros(x.shape[1])
     step = 4 / ((z * z).sum(axis=1).mean() * 4 + penalty)
     for t in range(rounds):
-        s = z @ v
-        lost = 1 / (1 + np.exp(np.clip(s[over] - s[under], -500, 500)))
-        pull = np.bincount(over, lost, len(z)) - np.bincount(under, lost, len(z))
-        new = v + step * (z.T @ pull / pairs - penalty * v)
+        new = v - step * loss(z, over, under, v, penalty)[1]
         w, v = new, new + t / (t + 3) * (new - w)
-    s = z @ w
-    # The quantiles of the training scores with the best balance of the classes' shares on their right sides; of that
-    # stretch a point nearer the bad class, since the documents that are rejected are lost.
-    at = np.quantile(s, np.linspace(0, 1, 401))
-    sides = np.searchsorted(np.sort(s[bad]), at) / len(bad) + 1 - np.searchsorted(np.sort(s[good]), at) / len(good)
-    best = np.flatnonzero(sides >= sides.max() - 1e-12)
-    threshold = float(0.85 * at[best[0]] + 0.15 * at[best[-1]])
-    return Ranker(mean, spread, w, threshold, float(4 / max(s.std(), 1e-9)))
+    return Ranker(mean, spread, w, short)
+
+
+def _validated(x: np.ndarray, y: np.ndarray, pairs: int, penalty: float, seed: int) -> tuple[float, float]:
+    """The short length whose folds order unseen pairs with the least loss, the smallest in ties, and the quantile of unseen scores
+    that parts the classes best, in the middle where several do."""
+    fold = np.empty(len(y), np.int64)
+    for k in (0, 1):  # each class is dealt evenly
+        own = np.flatnonzero(y == k)
+        fold[np.random.default_rng(seed + k).permutation(own)] = np.arange(len(own)) % FOLDS
+    best = (np.inf, float(SHORT[0]), 0.5)
+    for short in SHORT:
+        lost, place = [], np.empty(len(y))
+        for k in range(FOLDS):
+            out = fold == k
+            s = _fitted(x[~out], y[~out], short, pairs, TRIAL_ROUNDS, penalty, seed).raw(x[out])
+            # Every pair of the fold: the mean over all of them, good by bad.
+            lost.append(np.logaddexp(0, s[y[out] == 0][None] - s[y[out] == 1][:, None]).mean())
+            place[out] = (np.argsort(np.argsort(s, kind="stable"), kind="stable") + 0.5) / len(s)
+        if (mean := float(np.mean(lost))) < best[0] - 1e-12:
+            at = np.linspace(0, 1, 401)
+            good, bad = np.sort(place[y == 1]), np.sort(place[y == 0])
+            sides = np.searchsorted(bad, at) / len(bad) + 1 - np.searchsorted(good, at) / len(good)
+            top = at[sides >= sides.max() - 1e-12]
+            best = (mean, float(short), float((top[0] + top[-1]) / 2))
+    return best[1:]
+
+
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3, seed: int = 7) -> Ranker | None:
+    """Bradley-Terry weights and threshold; None without both classes. Classes of fewer than FOLDS documents aren't enough for
+    cross-validation: all frequencies count whole then, and the quantile is the share of the bad class."""
+    n = np.bincount(y, minlength=2)
+    if not n[0] or not n[1]:
+        return None
+    short, quantile = _validated(x, y, pairs // 4, penalty, seed) if min(n) >= FOLDS else (0.0, n[0] / len(y))
+    m = _fitted(x, y, short, pairs, ROUNDS, penalty, seed)
+    s = m.raw(x)
+    m.threshold, m.scale = float(np.quantile(s, quantile)), float(4 / max(s.std(), 1e-9))
+    return m
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Ranker | None:

@@ -161,6 +161,42 @@ def test_quality_does_not_learn_from_held_out_labels(spark, docs_of):
     assert np.array_equal(models[0].weights, models[1].weights) and models[0].threshold == models[1].threshold
 
 
+def test_pairwise_loss_and_gradient_equal_a_sum_over_pairs():
+    draw = np.random.default_rng(3)
+    z, w = draw.normal(size=(9, 5)), draw.normal(size=5)
+    over, under = draw.integers(0, 9, 40), draw.integers(0, 9, 40)
+
+    def brute(v):
+        return sum(np.log(1 + np.exp(-(z[a] - z[b]) @ v)) for a, b in zip(over, under, strict=True)) / 40 + 0.3 / 2 * v @ v
+
+    value, slope = ranking.loss(z, over, under, w, 0.3)
+    assert value == pytest.approx(brute(w))
+    steps = np.eye(5) * 1e-5
+    assert np.allclose(slope, [(brute(w + e) - brute(w - e)) / 2e-5 for e in steps], atol=1e-7)
+
+
+def test_fitted_weights_reach_the_minimum():
+    draw = np.random.default_rng(4)
+    texts = [prose(random.Random(k), 30) if k % 3 else "!? " * (k + 5) for k in range(90)]
+    x, y = np.stack([ranking.features(t) for t in texts]), np.asarray([int(k % 3 > 0) for k in range(90)])
+    m = ranking._fitted(x, y, 50, 2000, 4000, 0.1, 7)
+    z = ranking._steadied(x, m.mean, 50) / m.spread
+    pairs = np.random.default_rng(7)
+    over, under = pairs.choice(np.flatnonzero(y == 1), 2000), pairs.choice(np.flatnonzero(y == 0), 2000)
+    least, slope = ranking.loss(z, over, under, m.weights, 0.1)
+    assert np.abs(slope).max() < 1e-4
+    assert all(ranking.loss(z, over, under, m.weights + draw.normal(0, 0.05, len(slope)), 0.1)[0] > least for _ in range(20))
+
+
+def test_the_threshold_is_a_quantile_of_training_scores():
+    texts = [prose(random.Random(k), 20 + k) if k % 4 else "|" * (k + 5) for k in range(120)]
+    x, y = np.stack([ranking.features(t) for t in texts]), np.asarray([int(k % 4 > 0) for k in range(120)])
+    m = ranking.fit(x, y)
+    short, quantile = ranking._validated(x, y, ranking.PAIRS // 4, 1e-3, 7)
+    assert m.short == short in ranking.SHORT and m.threshold == np.quantile(m.raw(x), quantile)
+    assert ranking.fit(x[:9], y[:9]) is not None and ranking.fit(x[y == 1], y[y == 1]) is None
+
+
 def test_toxicity_finds_single_words_in_held_out_documents(spark, docs_of, odd_rows):
     draw = random.Random(3)
     bad = ["scoundrelly", "vermintide", "gutterous"]
