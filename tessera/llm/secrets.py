@@ -2,16 +2,22 @@
 
 A value after a credential word is cut into the cheapest row of pieces (dictionary words, dates, repeats, keyboard
 walks, brute-force rests) by dynamic programming over log10 of the guesses each piece takes; a value whose cheapest
-row still takes many guesses is a secret, however short.
+row still takes many guesses is a secret, however short and of whatever characters. The dictionary holds common parts of
+passwords and the whole words of two public tokenizers' vocabularies, by rank; so it is the dictionary that lets prose pass. A quoted
+value reaches to its closing quote, any other to the next white space or mark of separation. Values with letters of scripts
+without case, which the vocabularies hardly hold as words, are the exception: they count as prose.
 
 Null and empty texts have no spans. Repeated rows give repeated results. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +29,14 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
+#: Long credential words may stand anywhere, as in the base pattern; short ones begin a word or a part of one in camel case.
 _CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)"""
-    r"""["']?[ \t]{0,4}(?:[:=]|=>|:=)[ \t]{0,4}["']?(?:(?:bearer|basic|digest|token)[ \t]{1,4})?([^\s"'<>,;]+)""",
+    r"""(?:pass(?:word|wd|phrase|code)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization"""
+    r"""|(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:pass|pwd|pin|auth|bearer))"""
+    r"""["']?[ \t]{0,4}(?:[:=]|=>|:=)[ \t]{0,4}(?:"([^"\n]+)"|'([^'\n]+)'|["']?(?:(?:bearer|basic|digest|token)[ \t]{1,4})?([^\s"'<>,;]+))""",
     re.I | re.A,
 )
+_SCHEME = re.compile(r"(?:bearer|basic|digest|token)[ \t]{1,4}", re.I | re.A)
 #: The longest credential word with its separator: as much of a value's end may begin the next context.
 _HEAD = len("authorization:=")
 _HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "auth", "bearer")
@@ -36,8 +45,8 @@ _HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "auth",
 WORDS = "password pass qwerty letmein admin welcome login monkey dragon master hello freedom whatever trust love sunshine princess football baseball shadow michael jordan superman batman secret summer winter spring autumn monday friday test guest root user changeme default temp access flower orange apple banana cookie pepper ginger silver golden diamond computer internet server system service database account private public company office home family money happy lucky angel baby star blue red green black white the and for you token key api dev prod demo sample example".split()
 
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-#: One-case letters of this many or more aren't taken for a word of prose.
-LONG_WORD = 12
+#: Vocabularies whose whole words of MIN_WORD letters or more are the dictionary's further words.
+VOCABULARIES, MIN_WORD = ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"), 3
 _LEET = str.maketrans("013457@$!", "oieastasi")
 
 
@@ -59,6 +68,29 @@ _KEYS, _DEGREE = sum(map(len, ROWS)), len(ADJACENT) / sum(map(len, ROWS))
 JOINT = math.log10(2)
 
 
+@cache
+def dictionary(files: tuple[str, ...] = VOCABULARIES) -> dict[str, int]:
+    """The rank of each word: WORDS first, then the files' whole words by their place there, the better one of two places."""
+    import public_tokenizers
+
+    ranks: dict[str, int] = {}
+    for file in files:
+        with open(public_tokenizers.path(file), "rb") as f:
+            if file.endswith(".json"):
+                whole = ((w.removesuffix("</w>"), n) for w, n in json.load(f)["model"]["vocab"].items() if w.endswith("</w>"))
+            else:
+                whole = ((w[1:].decode("utf-8", "ignore").lower(), int(n)) for w, n in ((base64.b64decode(a), b) for a, b in map(bytes.split, f)) if w[:1] == b" ")
+            for w, n in whole:
+                if len(w) >= MIN_WORD and w.isalpha():
+                    ranks[w] = min(n + len(WORDS), ranks.get(w, 1 << 30))
+    return ranks | {w: k for k, w in reversed(list(enumerate(WORDS, 1)))}
+
+
+@cache
+def _longest(files: tuple[str, ...] = VOCABULARIES) -> int:
+    return max(map(len, dictionary(files)))
+
+
 def _word_matches(value: str, ranks: dict[str, int], longest: int) -> Iterator[tuple[int, int, float]]:
     lower = value.lower()
     if len(lower) != len(value):
@@ -123,19 +155,18 @@ def _walk_matches(value: str) -> Iterator[tuple[int, int, float]]:
             i += 1
 
 
-def guess_cost(value: str, words: Sequence[str] = tuple(WORDS), nested: bool = True) -> float:
+def guess_cost(value: str, files: tuple[str, ...] = VOCABULARIES, nested: bool = True) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes.
 
     A piece costs its own guesses, each further piece JOINT; a brute-force span of n characters costs n. The work is
     linear in the length for values without long runs.
     """
-    ranks = {w: k for k, w in reversed(list(enumerate(words, 1)))}
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in (*_word_matches(value, ranks, max(map(len, words), default=0)), *_date_matches(value), *_walk_matches(value)):
+    for i, j, cost in (*_word_matches(value, dictionary(files), _longest(files)), *_date_matches(value), *_walk_matches(value)):
         ends.setdefault(j, []).append((i, cost))
     if nested:
         for i, j, cost, unit, _ in _repeat_matches(value):
-            ends.setdefault(j, []).append((i, cost + guess_cost(unit, words, False)))
+            ends.setdefault(j, []).append((i, cost + guess_cost(unit, files, False)))
     known = [0.0]  # cheapest rows that end with a known piece, or are empty
     brute = [math.inf]  # those that end with a brute-force span
     for j in range(1, len(value) + 1):
@@ -148,41 +179,39 @@ def guess_cost(value: str, words: Sequence[str] = tuple(WORDS), nested: bool = T
     return min(known[-1], brute[-1])
 
 
-def _classes(value: str) -> int:
-    return any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
-
-
-def _prose(value: str) -> bool:
-    """Letters of one kind, as words of prose have: fewer than LONG_WORD, or not ASCII (scripts without spaces or capitals)."""
-    return any(c.isalpha() for c in value) and (len(value) < LONG_WORD or not value.isascii())
+def _caseless(value: str) -> bool:
+    """Whether it holds a letter of a script without case, as scripts without blanks between words are."""
+    return not value.isascii() and any(c.isalpha() and c.lower() == c.upper() for c in value)
 
 
-def _guesses(text: str, min_log10: float, min_length: int, min_classes: int) -> Iterator[tuple[str, int, int]]:
+def _guesses(text: str, min_log10: float, min_length: int) -> Iterator[tuple[str, int, int]]:
     at = done = 0
     while m := _CONTEXT.search(text, at):
+        start, end = m.span(m.lastindex)
         # A value's end may be the next context ("secret: password: ..."). A tail of a value is no value of its own: whoever
         # guesses the value has it.
-        at = max(m.start(1), m.end(1) - _HEAD)
-        if m.end(1) <= done:
+        at = max(start, end - _HEAD)
+        if end <= done:
             continue
-        done = m.end(1)
-        value = m[1].rstrip(".!?)]}")
-        if len(value) >= min_length and (_classes(value) >= min_classes or not _prose(value)) and guess_cost(value) >= min_log10:
-            yield "guess", m.start(1), m.start(1) + len(value)
+        done = end
+        if m.lastindex < 3 and (scheme := _SCHEME.match(text, start, end)):
+            start = scheme.end()
+        value = text[start:end].rstrip(".!?)]}") if m.lastindex == 3 else text[start:end]
+        if len(value) >= min_length and not _caseless(value) and guess_cost(value) >= min_log10:
+            yield "guess", start, start + len(value)
 
 
-def scan(text: str, min_log10: float = 7.0, min_length: int = 6, min_classes: int = 2) -> list[tuple[str, int, int]]:
+def scan(text: str, min_log10: float = 7.0, min_length: int = 6) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, by start, then kind as listed in KINDS.
 
     assign, access and hex are leftmost and do not overlap within their kind. A guess span is a credential-context
-    value of min_length characters or more which takes 10 ** min_log10 guesses or more; a value of fewer than min_classes
-    kinds of characters only if it isn't like a word of prose.
+    value of min_length characters or more which takes 10 ** min_log10 guesses or more.
     """
     low = text.lower()
     found = []
     if any(h in low for h in _HINTS):
         found += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-        found += _guesses(text, min_log10, min_length, min_classes)
+        found += _guesses(text, min_log10, min_length)
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]

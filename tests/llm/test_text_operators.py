@@ -30,9 +30,8 @@ def test_guess_cost_orders_passwords():
 
 def brute_cost(value):
     """The cheapest segmentation by trying every cut; pieces are known spans or brute-force runs."""
-    ranks = {w: k for k, w in reversed(list(enumerate(secrets.WORDS, 1)))}
     known = {}
-    matches = [*secrets._word_matches(value, ranks, 12), *secrets._date_matches(value), *secrets._walk_matches(value)]
+    matches = [*secrets._word_matches(value, secrets.dictionary(), 30), *secrets._date_matches(value), *secrets._walk_matches(value)]
     matches += [(i, j, c + secrets.guess_cost(u, nested=False)) for i, j, c, u, _ in secrets._repeat_matches(value)]
     for i, j, c in matches:
         known[i, j] = min(c, known.get((i, j), 99))
@@ -84,7 +83,8 @@ def test_short_values_after_credential_words_are_found_and_prose_is_not():
     [
         ("pwd=qzxkvjwpmtrlhgnd", "qzxkvjwpmtrlhgnd"), ("pin: 8392017465", "8392017465"), ("token=84720193847.", "84720193847"),
         ("dbPassword=Xk9#mQ2z", "Xk9#mQ2z"), ("myDBPassword: Xk9#mQ2z", "Xk9#mQ2z"), ("Authorization: Bearer Xk9#mQ2z", "Xk9#mQ2z"),
-        ("secret: password: Xk9#mQ2z", "Xk9#mQ2z"), ('"auth": "Basic dXNlcjpw"', "dXNlcjpw"),
+        ("secret: password: Xk9#mQ2z", "Xk9#mQ2z"), ('"auth": "Basic dXNlcjpw"', "dXNlcjpw"), ("pin=83947261059", "83947261059"), ("pwd=zqxvkjwp", "zqxvkjwp"),
+        ("MYTOKEN=Xk9#mQ2z", "Xk9#mQ2z"), ('passphrase: "korrect hxrse, bqttery"', "korrect hxrse, bqttery"), ("secret = 'a;b c,d<e>f'", "a;b c,d<e>f"), ("pwd=пжщёцуъя", "пжщёцуъя"),
     ],
 )
 def test_values_of_one_class_and_in_nested_contexts_are_found(text, value):
@@ -97,7 +97,7 @@ def test_a_found_value_may_end_in_the_next_context():
 
 
 def test_words_dates_and_repeats_after_credential_words_are_not_found():
-    for text in ("pin: 12051984", "token: 111111111111", "auth: basic training", "Authorization: Bearer token", "password: ****************", "shopPin= thoroughly", "spin=84720193847", "token: これは長い日本語の文章です。"):
+    for text in ("pin: 12051984", "token: 111111111111", "auth: basic training", "Authorization: Bearer token", "password: ****************", "shopPin= thoroughly", "spin=84720193847", "token: これは長い日本語の文章です。", "secret: necessary", "token: information.", "passphrase: 'summer holiday'", "the token: Gesellschaft"):
         assert not [s for s in secrets.scan(text) if s[0] == "guess"], text
     assert len(secrets.scan("pin=" * 5_000)) == 1
 
