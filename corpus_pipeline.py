@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import neardup, packing, ranking, secrets, toxicity
 from tessera.llm.common import read, written
+from tessera.runtime import sweep, tables_made
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's result written and read again as the next one's input."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages applied to documents, each one's result written and read again as the next one's input; then the tables of the
+    stages before it go."""
+    docs, since = read(spark, sf_dir, "documents"), tables_made()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage{k}")
+            sweep(spark, since)
     return docs

@@ -23,10 +23,13 @@ def ship(spark: SparkSession | None = None) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Its own is set only where the cluster names none, as in tests."""
+    """The cluster's shared folder. Its own is set only where none is named and all runs on this machine, as in tests;
+    a cluster that names none is an error, since its machines would not see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "/tmp/tessera-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = os.path.join(spark.sparkContext._temp_dir, "checkpoints")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
@@ -38,22 +41,48 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
 
 
+#: Places of the tables written so far that still stand.
+_made: list[str] = []
+
+
+def _filesystem(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it is worked out once, cuts lineage and outlives lost executors.
 
-    The table stays until clear(), since results that are read later may depend on it.
+    The table stays until sweep(), clear() or the application's end, since results that are read later may depend on it.
     """
     spark = df.sparkSession
     at = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        path, files = _filesystem(spark, _own(spark))
+        files.deleteOnExit(path)
+    _made.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def sweep(spark: SparkSession, since: int) -> None:
+    """Removes what was written() after the first `since` tables but the last one, which holds the result of the others."""
+    for at in _made[since:-1]:
+        path, files = _filesystem(spark, at)
+        files.delete(path, True)
+    del _made[since:-1]
+
+
+def tables_made() -> int:
+    """The number of tables that stand: where sweep() may start later."""
+    return len(_made)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the tables that this application has written(), once its results are stored."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _filesystem(spark, _own(spark))
+    files.delete(path, True)
+    _made.clear()
 
 
 def loose(df: DataFrame) -> DataFrame:
