@@ -41,8 +41,9 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
 
 
-#: Places of the tables written so far that still stand.
+#: Places of the tables written so far that still stand, and the folders that go when their application ends.
 _made: list[str] = []
+_ending: set[str] = set()
 
 
 def _filesystem(spark: SparkSession, at: str):
@@ -56,10 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table stays until sweep(), clear() or the application's end, since results that are read later may depend on it.
     """
     spark = df.sparkSession
-    at = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        path, files = _filesystem(spark, _own(spark))
+    own = _own(spark)
+    at = f"{own}/{name}-{uuid.uuid4().hex}"
+    if own not in _ending:
+        path, files = _filesystem(spark, own)
         files.deleteOnExit(path)
+        _ending.add(own)
     _made.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
