@@ -13,8 +13,9 @@ from ..runtime import ship, written
 
 __all__ = ["held_out", "labelled_sample", "map_arrow", "read", "ship", "strings", "written"]
 
-#: Rows in an Arrow batch: a batch of long texts then stays in the tens of MB.
-BATCH_ROWS = 256
+#: Rows and bytes that a function gets at once; a row that is larger by itself comes alone.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over small batches.
+    """mapInArrow over small batches: of BATCH_ROWS rows, and of about BATCH_BYTES, to which the session's bound is lowered.
 
     While a partition is read, Python's cycle collector rests: these functions make many small lists and no cycles, and the
     collector would go through them again and again.
@@ -31,12 +32,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         try:
-            yield from fn(batches)
+            yield from fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
         finally:
             gc.enable()
 
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark = df.sparkSession
+    ship(spark)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES)) > BATCH_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 

@@ -6,12 +6,14 @@ differ in r bits or fewer. The axes are dealt into groups, and the grid has a ce
 r groups at most, so points in range share the cells of some (groups - r) groups. Each choice of so many groups is a
 probe: an equi-join on those cells, then the range condition on whole embeddings, then the exact one on fingerprints.
 
-Equal fingerprints are one node from the start. A cell with more than CROWD nodes isn't joined with itself: its nodes are
+Equal fingerprints are one node from the start. The number of groups grows with the number of nodes, so that a cell holds few on
+average. A cell with more than CROWD nodes isn't joined with itself: its nodes are
 linked exactly by one-bit neighbours instead (two fingerprints differ in two bits or fewer if and only if flipping at
 most one bit of each gives a common value), which takes 65 rows for each node however crowded the cell.
 
-Null and empty texts have fingerprint zero and are alike. Null ids are fingerprinted but never are a smallest id.
-Repeated rows are copies of each other. An empty table gives no rows. Only the id and text columns are read.
+Null and empty texts have fingerprint zero and are alike. Null ids are fingerprinted but never are a smallest id; fingerprints
+that only such rows have are linked like others. Links are between fingerprints, so rows that share a doc_id but not their text
+are linked no more than others. Repeated rows are copies of each other. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..runtime import loose
 from .common import map_arrow, strings, written
 from .components import connected_components
 
 #: Nodes in a cell up to which all its pairs are tried.
 CROWD = 64
+#: Nodes for each cell of a probe, on average, up to which a number of groups does.
+CELL_MEAN = 4
 #: Hashes whose bits are counted at once.
 BLOCK = 255 * 32
 
@@ -75,42 +80,56 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def groups_for(nodes: int, radius: int) -> int:
+    """The least number of groups whose probes have a cell for every CELL_MEAN nodes: a segment of two bits has three popcounts, the
+    middle one twice as often, and so tells 1.5 bits."""
+    tells = lambda g: 0.75 * (g - radius) * (64 // g // 2 * 2)
+    return next((g for g in range(radius + 2, 17) if CELL_MEAN * 2 ** tells(g) >= nodes), 16)
+
+
 def links(nodes: DataFrame, radius: int = 2, groups: int | None = None, crowd: int = CROWD) -> DataFrame:
-    """Links (u, v) between ids of nodes (id, f), f distinct: all pairs in cells of up to crowd nodes that differ in radius
-    bits or fewer, and such pairs as connect the same nodes in larger cells. radius: 1 or 2."""
-    groups = groups or radius + 2
+    """Links (u, v) between nodes (f), all distinct: all pairs in cells of up to crowd nodes that differ in radius
+    bits or fewer, and such pairs as connect the same nodes in larger cells. radius: 1 or 2. nodes is read several times: a table."""
+    groups = groups or groups_for(nodes.count(), radius)
     width = 64 // groups // 2 * 2
     edges = [k * width for k in range(groups)] + [64]
     masks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(groups)]
     probes = [sum(masks[k] for k in kept) for kept in combinations(range(groups), groups - radius)]
-    point = nodes.select("id", "f", embedding(F.col("f")).alias("e"))
-    spread = point.select("id", "f", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(_signed(m))) for m in probes))).alias("probe", "cell"))
+    point = nodes.select("f", embedding(F.col("f")).alias("e"))
+    spread = point.select("f", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(_signed(m))) for m in probes))).alias("probe", "cell"))
     sizes = written(spread.groupBy("probe", "cell").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
     shared = written(spread.join(sizes, ["probe", "cell"]), "shared")
     few = shared.filter(F.col("n") <= crowd)
     a, b = few.alias("a"), few.alias("b")
     near = lambda x, most: F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) <= most
     on = (F.col("a.probe") == F.col("b.probe")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.f") < F.col("b.f"))
-    pairs = a.join(b, on & near("e", radius) & near("f", radius)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    pairs = a.join(b, on & near("e", radius) & near("f", radius)).select(F.col("a.f").alias("u"), F.col("b.f").alias("v"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << k)) for k in range(64)))
-    crowded = shared.filter(F.col("n") > crowd).select("id", "f").distinct()
-    around = crowded.select("id", F.explode(F.transform(flips, lambda m: F.col("f").bitwiseXOR(m)) if radius == 2 else F.array("f")).alias("x"))
+    crowded = shared.filter(F.col("n") > crowd).select("f").distinct()
+    around = crowded.select("f", F.explode(F.transform(flips, lambda m: F.col("f").bitwiseXOR(m))).alias("x"))
     if radius == 1:  # one bit apart: one of the two is a one-bit neighbour of the other
-        around = crowded.select("id", F.col("f").alias("x")).union(crowded.select("id", F.explode(F.transform(flips, lambda m: F.col("f").bitwiseXOR(m)))))
-        centre = crowded.select(F.col("f").alias("x"), F.col("id").alias("v"))
+        centre = crowded.select(F.col("f").alias("x"), F.col("f").alias("v"))
     else:
-        centre = around.groupBy("x").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").select("x", "v")
-    return pairs.union(around.join(centre, "x").filter("id <> v").select(F.col("id").alias("u"), "v"))
+        centre = around.groupBy("x").agg(F.min("f").alias("v"), F.count("*").alias("n")).filter("n > 1").select("x", "v")
+    return pairs.union(around.join(centre, "x").filter("f <> v").select(F.col("f").alias("u"), "v"))
+
+
+def _classed(docs: DataFrame, words: int, radius: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id and f for every row; and for every fingerprint f, component_id (the smallest doc_id of its
+    component) and first (whether it is the one of its component with the smallest (doc_id, f))."""
+    prints = written(fingerprints(docs, words, seed, id_col, text_col), "prints")
+    nodes = written(prints.groupBy("f").agg(F.min("doc_id").alias("id")), "nodes")
+    joined = nodes.join(connected_components(links(nodes.select("f"), radius)).withColumnRenamed("id", "f"), "f")
+    least = joined.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "f")).alias("least"))
+    known = written(loose(least).join(joined, "component").select("f", F.col("least.id").alias("component_id"), (F.col("f") == F.col("least.f")).alias("first")), "classes")
+    of = nodes.join(known, "f", "left").select("f", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return prints, of
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, f, component_id for every row: the smallest doc_id that links of radius differing bits or fewer reach."""
-    prints = written(fingerprints(docs, words, seed, id_col, text_col), "prints")
-    nodes = prints.groupBy("f").agg(F.min("doc_id").alias("id"))
-    known = nodes.filter("id is not null")
-    least = connected_components(links(known, radius)).withColumnRenamed("id", "of")
-    labelled = nodes.join(least, F.col("id") == F.col("of"), "left").select("f", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(labelled, "f").select("doc_id", "f", "component_id")
+    prints, of = _classed(docs, words, radius, seed, id_col, text_col)
+    return prints.join(of, "f").select("doc_id", "f", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -119,27 +138,35 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """documents without those that have a smaller doc_id in their group. Rows that repeat a doc_id count as one document,
-    of which one row stays: one whose own text has no smaller doc_id in its group, if there is any. Rows without doc_id stay."""
-    found = near_duplicates(docs, words, radius).filter("doc_id is not null").select("doc_id", "f", (F.col("component_id") != F.col("doc_id")).alias("gone"))
-    found = written(found.distinct(), "found")
-    ids = found.groupBy("doc_id").agg(F.bool_and("gone").alias("whole"), F.bool_or("gone").alias("part")).filter("part")
-    # Texts under one doc_id that differ in whether they go are few: only they are fingerprinted again.
-    mixed = ids.filter("not whole").select("doc_id")
+    """documents less their near copies: of the rows of each component one with the smallest (doc_id, fingerprint) stays. Rows are
+    told apart by doc_id and fingerprint, so different texts under one doc_id are decided on each for itself. Rows without doc_id stay.
+
+    Ids and fingerprints decide; texts move only where rows are joined with the ids that lose a row, which Spark
+    broadcasts if their table is small. Rows of an id that loses some rows but not all are fingerprinted again.
+    """
+    prints, of = _classed(docs, words, radius, 42, "doc_id", "text")
+    rows = prints.filter("doc_id is not null").groupBy("doc_id", "f").agg(F.count("*").alias("n"))
+    judged = rows.join(of, "f").select("doc_id", "f", "n", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    judged = written(judged, "judged")
+    ids = written(judged.groupBy("doc_id").agg((~F.bool_and("stays") | (F.max("n") > 1)).alias("loses"), F.bool_or("stays").alias("some")).filter("loses"), "losing")
     known = docs.filter("doc_id is not null")
-    kept = known.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    some = _with_fingerprint(known.join(mixed, "doc_id", "left_semi").select(docs.columns), words)
-    some = some.join(found.filter("not gone").select("doc_id", F.col("f").alias("_f")), ["doc_id", "_f"], "left_semi").select(docs.columns)
-    return kept.unionByName(some).dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
-
-
-def _with_fingerprint(docs: DataFrame, words: int) -> DataFrame:
-    """docs with the fingerprint of text as _f."""
+    whole = known.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    mark = "_f"
+    while mark.lower() in map(str.lower, docs.columns):
+        mark = "_" + mark
+    parted = _with_fingerprint(known.join(ids.filter("some").select("doc_id"), "doc_id", "left_semi").select(docs.columns), words, mark)
+    stay = judged.filter("stays").select("doc_id", F.col("f").alias(mark))
+    parted = parted.join(stay, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
+    return whole.unionByName(parted).unionByName(docs.filter("doc_id is null"))
+
+
+def _with_fingerprint(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """docs with the fingerprint of text as a further column."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.asarray([fingerprint(t, words) for t in strings(b, at)], np.uint64).astype(np.int64)
-            yield pa.record_batch([*b.columns, pa.array(f)], [*b.schema.names, "_f"])
+            yield pa.record_batch([*b.columns, pa.array(f)], [*b.schema.names, name])
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_f", LongType())]))
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))

@@ -33,7 +33,7 @@ def brute_fingerprint(text, words=3):
 
 
 def brute_components(prints):
-    """Smallest id that links of two differing bits or fewer reach, by id."""
+    """Smallest id that links of two differing bits or fewer reach, by id. prints: fingerprints by id."""
     parent = {i: i for i in prints}
 
     def find(x):
@@ -56,8 +56,8 @@ def test_fingerprints_equal_brute_force():
     assert [neardup.fingerprint(t) for t in texts] == [brute_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("crowd", [64, 3, 0])
-def test_links_connect_all_pairs_within_two_bits(spark, crowd):
+@pytest.mark.parametrize(("crowd", "groups"), [(64, 4), (3, 4), (0, 4), (64, 5), (64, 8), (2, 6)])
+def test_links_connect_all_pairs_within_two_bits(spark, crowd, groups):
     draw = random.Random(7)
     prints = {}
     for centre in range(40):
@@ -69,12 +69,16 @@ def test_links_connect_all_pairs_within_two_bits(spark, crowd):
             prints[f] = len(prints) * 3 + 1
     ids = {i: f for f, i in prints.items()}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    nodes = spark.createDataFrame([(i, signed(f)) for i, f in ids.items()], "id long, f long")
-    links = neardup.links(nodes, crowd=crowd)
-    assert all((ids[r["u"]] ^ ids[r["v"]]).bit_count() <= 2 for r in links.collect())
+    nodes = spark.createDataFrame([(signed(f),) for f in ids.values()], "f long")
+    links = neardup.links(nodes, crowd=crowd, groups=groups)
+    assert all((r["u"] ^ r["v"]).bit_count() <= 2 or ((r["u"] ^ r["v"]) % 2**64).bit_count() <= 2 for r in links.collect())
     got = {r["id"]: r["component"] for r in components.connected_components(links).collect()}
-    want = brute_components(ids)
-    assert all(got.get(i, i) == want[i] for i in ids)
+    want = brute_components({signed(f): f for f in ids.values()})
+    assert all(got.get(f, f) == want[f] for f in want)
+
+
+def test_groups_grow_with_the_nodes():
+    assert [neardup.groups_for(n, 2) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**15)] == [4, 4, 5, 6, 8, 16]
 
 
 def test_embedding_distance_is_a_lower_bound(spark):
@@ -91,6 +95,9 @@ def test_components_of_long_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(1, 200)]
     star = [(1000, k) for k in range(1001, 1400)]
     edges = spark.createDataFrame([*chain, *star, (5, 5), (None, 3), (2, 1)], "u long, v long")
+    assert components._settled(spark.createDataFrame([(3, 1), (2, 1), (9, 5)], "x long, y long"))
+    assert not components._settled(spark.createDataFrame([(3, 1), (3, 2)], "x long, y long"))
+    assert not components._settled(spark.createDataFrame([(3, 2), (2, 1)], "x long, y long"))
     got = {r["id"]: r["component"] for r in components.connected_components(edges).collect()}
     assert got == {k: 1 for k in range(1, 201)} | {k: 1000 for k in range(1000, 1400)}
     assert components.connected_components(edges.limit(0)).count() == 0
@@ -102,18 +109,18 @@ def test_near_duplicate_query_and_stage(spark, docs_of, odd_rows):
     rows = [*odd_rows, (40, base), (41, base.replace(base.split()[1000], "changed", 1)), (42, base.upper()), (43, prose(draw, 300)), (44, None)]
     got = neardup.digest(neardup.near_duplicates(docs_of(rows))).collect()
     assert len(got) == len(rows)
-    prints = {}
-    for i, t in rows:
-        prints.setdefault(i, brute_fingerprint(t or ""))
-    want = brute_components({i: f for i, f in prints.items() if i is not None})
-    for r in got:
-        assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}"
-        if r["doc_id"] is not None:
-            assert r["component_id"] == want[r["doc_id"]]
+    prints = [brute_fingerprint(t or "") for _, t in rows]
+    class_of = brute_components(dict(enumerate(prints)))
+    smallest = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            smallest[class_of[k]] = min(i, smallest.get(class_of[k], i))
+    want = sorted(((i, f"{prints[k]:016x}", smallest.get(class_of[k])) for k, (i, _) in enumerate(rows)), key=str)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=str) == want
     kept = neardup.keep_one(docs_of(rows))
     assert kept.columns == docs_of(rows).columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({i for i, c in want.items() if i == c}) and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == sorted(smallest.values()) and ids.count(None) == 1
     assert neardup.near_duplicates(docs_of([])).count() == 0 and neardup.keep_one(docs_of([])).count() == 0
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import neardup, ranking, secrets, toxicity
 from tests.llm.test_corpus_operators import prose, quality_rows
@@ -63,7 +65,10 @@ def test_empty_documents(spark, tmp_path):
 
 def test_a_text_without_copy_stays_where_its_doc_id_has_another_text(spark, docs_of):
     draw = random.Random(5)
-    a, b, c, d = (prose(draw, 60) for _ in range(4))
-    rows = [(1, a), (7, a), (7, b), (8, a), (8, a), (9, c), (9, c), (10, d), (None, a)]
-    got = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(docs_of(rows)).collect()), key=str)
-    assert got == sorted([(1, a), (7, b), (9, c), (10, d), (None, a)], key=str)
+    a, b, c, d, e, f = (prose(draw, 60) for _ in range(6))
+    rows = [(1, a), (7, a), (7, b), (7, e), (8, a), (8, a), (9, c), (9, c), (9, f), (10, d), (11, f), (None, a)]
+    table = docs_of(rows).withColumn("_f", F.lit(1)).withColumn("__F", F.lit(2))
+    got = neardup.keep_one(table)
+    assert got.columns == table.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert got == sorted([(1, a), (7, b), (7, e), (9, c), (9, f), (10, d), (None, a)], key=str)
