@@ -6,7 +6,7 @@ tokens are both sorted, and binary search finds each trained turn's tokens and c
 under the mask is exactly the assistants' texts, even where a token reaches over a turn's edge.
 
 Turns are ordered by turn, then role, then text, nulls first. Null roles and texts count as empty. Turns that are repeated are
-kept. An empty table gives no rows; a conversation without assistant has an empty mask. Only the four named columns are read.
+kept. A row without conv_id belongs to no conversation: it is one of its own, of one turn. An empty table gives no rows; a conversation without assistant has an empty mask. Only the four named columns are read.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, li
     now, turns = None, []
     for b in batches:
         for conv, role, text in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            if turns and conv != now:
+            if turns and (conv != now or conv is None):
                 yield now, turns
                 turns = []
             now = conv
@@ -131,8 +131,10 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, li
 
 
 def _in_order(conversations: DataFrame) -> DataFrame:
+    """Conversations whole in one partition each; rows without conv_id, however many, spread by their contents."""
     columns = ["conv_id", "turn", "role", "text"]
-    return conversations.select(columns).repartition("conv_id").sortWithinPartitions(*columns)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return conversations.select(columns).repartition("conv_id", alone).sortWithinPartitions(*columns)
 
 
 def format_conversations(conversations: DataFrame, file: str = "byte_bpe_50k.json") -> DataFrame:

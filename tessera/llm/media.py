@@ -128,7 +128,11 @@ def store(docs: DataFrame, shared: DataFrame, text_col: str = "text") -> DataFra
     roles = shared.groupBy("object_id").agg(F.collect_list(F.when(~F.col("own"), F.col("seq"))).alias("taken"), F.collect_list(F.when(F.col("own"), F.struct("seq", "digest"))).alias("given"))
     # Joins would add this condition where they can: with it in both plans that read the store, they share its one shuffle.
     objects = _contents(docs, text_col).filter("object_id is not null").groupBy("object_id").agg(F.first("contents").alias("contents"))
-    kept = F.when(F.size("taken") > 0, F.transform("contents", lambda c, k: F.when(~F.array_contains("taken", k), c))).otherwise(F.col("contents"))
+    # A byte for each chunk up to the last taken one, "1" where it is taken: each chunk is looked up at its place.
+    places = F.array_sort("taken")
+    flags = F.array_join(F.transform(places, lambda x, k: F.lpad(F.lit("1"), x - F.coalesce(F.get(places, k - 1), F.lit(-1)), F.lit("0"))), "").cast("binary")
+    kept = F.when(F.size("taken") > 0, F.transform("contents", lambda c, k: F.when(F.substring("flags", k + 1, 1) != F.lit(b"1"), c))).otherwise(F.col("contents"))
+    roles = roles.withColumn("flags", flags)
     return objects.join(roles, "object_id", "left").select("object_id", kept.alias("contents"), "given")
 
 

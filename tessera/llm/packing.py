@@ -102,8 +102,13 @@ def pieces(docs: DataFrame, file: str = "word_bpe_49k.json", capacity: int = 204
 
 
 class _Stock:
-    """Counts by length, with an index of the sums of two lengths in stock; one length is its own sum, and a triple is
-    a length with an indexed pair."""
+    """Counts by length, with indices of the sums that two and that three lengths in stock make; one length is its own sum.
+
+    The index of pair sums is exact at any time. Stock only goes down, so an older index of triple sums still tells for certain which
+    sums no triple makes; it is made anew after STALE lengths have run out.
+    """
+
+    STALE = 64
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.n = np.zeros(capacity + 1, np.int64)
@@ -113,6 +118,13 @@ class _Stock:
         self.pairs = np.convolve(there, there)[: capacity + 1]
         self.pairs[::2] += there[: len(self.pairs[::2])]
         self.pairs //= 2  # unordered pairs by sum, a length with itself included
+        self.gone = 0
+        self._index_triples()
+
+    def _index_triples(self) -> None:
+        """By sum, how many lengths have a pair that makes the rest."""
+        self.triples = np.convolve((self.n > 0).astype(np.int64), (self.pairs > 0).astype(np.int64))[: len(self.n)]
+        self.gone = 0
 
     def take(self, pattern: list[int], times: int) -> None:
         for x, each in Counter(pattern).items():
@@ -123,6 +135,9 @@ class _Stock:
                 self.pairs[mates + x] -= 1
                 if 2 * x < len(self.pairs):
                     self.pairs[2 * x] -= 1
+                self.gone += 1
+        if self.gone >= self.STALE:
+            self._index_triples()
 
     def left(self, x: int, used: Counter) -> int:
         return int(self.n[x]) - used[x]
@@ -144,6 +159,8 @@ class _Stock:
             return [gap]
         if found := self.pair(gap, used):
             return found
+        if not self.triples[gap]:
+            return []
         for a in np.flatnonzero((self.n[1:gap] > 0) & (self.pairs[gap - 1 : 0 : -1] > 0))[::-1].tolist():
             if self.left(a + 1, used) > 0 and (rest := self.pair(gap - a - 1, used + Counter([a + 1]))):
                 return [a + 1, *rest]

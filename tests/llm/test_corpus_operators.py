@@ -345,3 +345,10 @@ def test_chat_query(spark):
     assert got[3]["n_turns"] == 2 and got[3]["loss_sha256"] == sha("</s>" * 6)
     assert got[-7]["loss_sha256"] == sha("</s>[INST] ok [/INST]") and got[-7]["loss_chars"] == 21
     assert chat.format_conversations(table.limit(0)).count() == 0
+
+
+def test_rows_without_conversation_are_conversations_of_their_own(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (None, None, None, None), (1, 0, "user", "c")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.format_conversations(table)).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (0, 1, 1), (1, 1, 0)]

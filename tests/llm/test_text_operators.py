@@ -197,6 +197,25 @@ def test_exact_complements_fill_gaps():
     assert packing.plan({6: 1, 3: 2}, 10) == [([6, 3], 1), ([3], 1)]  # best fit of what is left
 
 
+def test_indices_of_sums_equal_brute_force_while_the_stock_goes_down(monkeypatch):
+    monkeypatch.setattr(packing._Stock, "STALE", 3)
+    draw, capacity = random.Random(8), 40
+    stock = packing._Stock({x: draw.randint(1, 3) for x in range(1, 41) if draw.random() < 0.5}, capacity)
+    while (have := np.flatnonzero(stock.n).tolist()):
+        pairs = {s: sum(a <= b and a + b == s for a in have for b in have) for s in range(capacity + 1)}
+        assert stock.pairs.tolist() == list(pairs.values())
+        made = {a + b + c for a in have for b in have for c in have}
+        for gap in range(1, capacity + 1):
+            assert stock.triples[gap] or gap not in made  # never says no to a triple
+            assert stock.gone or bool(stock.triples[gap]) == (gap in made)
+            found = stock.exact(gap, packing.Counter())
+            assert sum(found) == (gap if found else 0) and len(found) <= 3
+            if not found:  # only counts can forbid what the lengths would make
+                assert gap not in have and not any(a + b == gap and (a != b or stock.n[a] > 1) for a in have for b in have)
+                assert not any(a + b + c == gap and all(stock.n[x] >= k for x, k in packing.Counter((a, b, c)).items()) for a in have for b in have for c in have)
+        stock.take([draw.choice(have)], 1)
+
+
 def test_word_cache_gives_the_tokenizers_ids():
     tok = resync.tokenizer("word_bpe_49k.json")
     texts = [junk(k, 300) for k in range(60)] + ["\x01 \x01", "Σας ΣΑΣ", "K İ"]
@@ -275,6 +294,19 @@ def test_shared_chunks_are_stored_once(spark, docs_of):
     assert kept == listed.selectExpr("explode(digests) d").distinct().count()
 
 
+def test_taken_chunks_are_left_out_wherever_they_stand(spark, docs_of):
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choice("abcdefghij klm") for _ in range(n))
+    shared = [text(30_000) for _ in range(3)]
+    docs = docs_of([(k, "".join(x for s in draw.sample(shared, 3) for x in (text(9_000), s)) + text(500)) for k in range(4)])
+    listed = media.catalog(docs).cache()
+    places = media.shared_chunks(listed).cache()
+    taken = {(bytes(r["object_id"]), r["seq"]) for r in places.filter("not own").collect()}
+    got = {(bytes(r["object_id"]), k) for r in media.store(docs, places).collect() for k, c in enumerate(r["contents"]) if c is None}
+    assert got == taken and len(taken) > 10
+    assert media.media_columns(docs).count() == 4
+
+
 def test_a_lost_chunk_is_an_error(spark, docs_of):
     docs = docs_of([(1, "some text " * 3000)])
     listed = media.catalog(docs)
