@@ -11,10 +11,12 @@ FIRST share of a query's lists, the nearest, is scanned with this bound, and the
 
 Lists are the cells of centres that are fitted to a bounded sample, SAMPLE vectors; the number of lists follows the square
 root of the number of vectors, up to LISTS. Every vector is in one list. How many lists a query probes is measured: as many as
-hold the wanted share of the true nearest neighbours of sampled queries within the sample. Small lists share a bin of up to BLOCK
+hold the wanted share of the true nearest neighbours of sampled queries within the sample. Of these it leaves out those whose
+radius keeps all their vectors beyond its bound. Small lists share a bin of up to a block of
 rows; the rows of a larger one are dealt into blocks of about that size, as are the queries of a bin. Each pair of a block and a query block is a
 group of its own, so that a list with a third of all rows is many groups of bounded size. Of each group a query's k best go on; equal scores are
-ordered by vec_id.
+ordered by vec_id. Each vector moves once for each query block of its bin, each query once for each block that it probes; blocks grow with the
+table up to BLOCKS rows, so that larger tables make fewer copies for each pair that they compare. The work remains queries times probed vectors.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Of rows
 that repeat an id the one with the largest vector, in the order of arrays, counts. An empty table gives no rows. Only the id and vector columns are read.
@@ -28,13 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, ship, written
 
 #: Bounds of the fit and of the groups.
-SAMPLE, LISTS, ANCHORS, TRIALS, BLOCK, QUERY_BLOCK = 20_000, 4_096, 2_048, 256, 2_048, 2_048
+SAMPLE, LISTS, ANCHORS, TRIALS = 20_000, 4_096, 2_048, 256
+#: Rows of a block: the least and the most, and so many blocks of the table that all cores have work. Queries of a query block.
+BLOCK, BLOCKS, PARTS, QUERY_BLOCK = 2_048, 16_384, 64, 16_384
 #: Columns of a scan step, and how many standard errors above the k-th best an estimate must be to be abandoned.
 STEP, ERRORS = 16, 2.1
 #: The share of a query's lists that is scanned first, and queries that are scanned at once.
@@ -90,7 +95,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return fine.filter(F.size("v") == (lengths[0]["n"] if lengths else 0)).groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
-def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE, lists: int = LISTS, rounds: int = 8, seed: int = 11) -> Index | None:
+def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE, lists: int = LISTS, anchors: int = ANCHORS, rounds: int = 8, seed: int = 11) -> Index | None:
     """None for an empty table. The sample is the rows with the lowest hashes of vec_id."""
     facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).alias("norm")).first()
     if not facts["n"]:
@@ -100,10 +105,10 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
     draw = np.random.default_rng(seed)
     dims = v.shape[1] + 1
     rotation = np.linalg.qr(draw.normal(size=(dims, dims)))[0]
-    index = Index(rotation, float(facts["norm"]), np.zeros((1, dims)), ids[:ANCHORS])
+    index = Index(rotation, float(facts["norm"]), np.zeros((1, dims)), ids[:anchors])
     turned = index.turned(v, False)
     x = np.unique(turned, axis=0)
-    n = max(1, min(lists, len(x), math.isqrt(facts["n"]) // 2))
+    n = max(1, min(lists, len(x), 2 * math.isqrt(facts["n"])))
     centres = x[draw.choice(len(x), n, replace=False)]
     for _ in range(rounds):
         index.centres = centres
@@ -112,7 +117,7 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
         np.add.at(sums, own, x)
         size = np.bincount(own, minlength=n)[:, None]
         centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
-    index.centres, index.originals = centres, v[:ANCHORS]
+    index.centres, index.originals = centres, v[:anchors]
     # In which place of a query's order of lists its true neighbours' lists are.
     own = np.concatenate([index.nearest(turned[a : a + 1024], 1)[:, 0] for a in range(0, len(turned), 1024)])
     q = index.turned(v[:TRIALS], True)
@@ -129,32 +134,40 @@ def _kind(rows: DataFrame) -> str:
     return dict(rows.dtypes)["v"]
 
 
-def placed(rows: DataFrame, index: Index) -> DataFrame:
-    """vec_id, v, list: each row in the list of its nearest centre."""
+def placed(rows: DataFrame, index: Broadcast) -> DataFrame:
+    """vec_id, v, list, far: each row in the list of its nearest centre, and its distance from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
         for b in batches:
             if b.num_rows:
-                near = index.nearest(index.turned(_matrix(b.column(1)), False), 1)[:, 0]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
+                x = own.turned(_matrix(b.column(1)), False)
+                near = own.nearest(x, 1)[:, 0]
+                far = np.sqrt(((x - own.centres[near]) ** 2).sum(axis=1))
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(far)], ["vec_id", "v", "list", "far"])
 
-    return map_arrow(rows, run, f"vec_id long, v {_kind(rows)}, list int")
+    return map_arrow(rows, run, f"vec_id long, v {_kind(rows)}, list int, far double")
 
 
-def probing(queries: DataFrame, index: Index, bins: np.ndarray, first: int, last: int) -> DataFrame:
-    """vec_id, v, bound, bin, lists: each query in every bin that holds lists it probes, the first-th to last-th nearest, with these lists."""
+def probing(queries: DataFrame, index: Broadcast, bins: np.ndarray, radii: np.ndarray, first: int, last: int) -> DataFrame:
+    """vec_id, v, bound, bin, lists: each query in every bin that holds lists it probes, the first-th to last-th nearest, with these lists,
+    less those that its bound excludes. radii: by list the largest distance of a vector from the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = index.turned(_matrix(b.column(1)), True)
-            near = np.argsort(squared(x, index.centres), axis=1, kind="stable")[:, first:last]
+            centres = index.value.centres
+            x = index.value.turned(_matrix(b.column(1)), True)
+            apart = squared(x, centres)
+            near = np.argsort(apart, axis=1, kind="stable")[:, first:last]
+            reach = np.sqrt(np.maximum(b.column(2).to_numpy(), 0)) + 1e-6
             at, held, lists = [], [], []
             for i, own in enumerate(near if near.shape[1] else ()):
+                own = own[np.sqrt(np.maximum(apart[i, own], 0)) - radii[own] <= reach[i]]
                 order = np.argsort(bins[own], kind="stable")
                 names, starts = np.unique(bins[own][order], return_index=True)
-                for name, part in zip(names.tolist(), np.split(own[order], starts[1:]), strict=True):
+                for name, part in zip(names.tolist(), np.split(own[order], starts[1:]), strict=False):
                     if name >= 0:
                         at.append(i)
                         held.append(name)
@@ -165,22 +178,22 @@ def probing(queries: DataFrame, index: Index, bins: np.ndarray, first: int, last
     return map_arrow(queries, run, f"vec_id long, v {_kind(queries)}, bound double, bin int, lists array<int>")
 
 
-def anchored(queries: DataFrame, index: Index, k: int) -> DataFrame:
+def anchored(queries: DataFrame, index: Broadcast, k: int) -> DataFrame:
     """query_id, vec_id, score: the k best anchors of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.record_batch([pa.array(c) for c in index.best_anchors(_matrix(b.column(1)), b.column(0).to_numpy(), k)], ["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(c) for c in index.value.best_anchors(_matrix(b.column(1)), b.column(0).to_numpy(), k)], ["query_id", "vec_id", "score"])
 
     return map_arrow(queries.select("vec_id", "v"), run, "query_id long, vec_id long, score double")
 
 
-def bounded(queries: DataFrame, best: DataFrame, index: Index, k: int) -> DataFrame:
+def bounded(queries: DataFrame, best: DataFrame, scale: float, k: int) -> DataFrame:
     """queries with bound: the squared distance of the k-th of best (query_id, rank, vec_id, score), infinite without so many."""
     kth = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return queries.select("vec_id", "v").join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce(2 - 2 * F.col("score") / (norm * index.scale), F.lit(float("inf"))).alias("bound"))
+    return queries.select("vec_id", "v").join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce(2 - 2 * F.col("score") / (norm * scale), F.lit(float("inf"))).alias("bound"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -237,27 +250,46 @@ def binned(sizes: dict[int, int], lists: int, block: int = BLOCK) -> tuple[np.nd
     return bins, {b: -(-n // block) for b, n in held.items()}
 
 
-def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", anchors: int = ANCHORS, block: int = BLOCK
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, a row of vectors that is_query (of vec_id) selects, among all other rows.
 
-    recall: the share of the true neighbours that the probed lists are to hold, measured on the sample.
+    recall: the share of the true neighbours that the probed lists are to hold, measured on the sample. A table of no more than
+    `anchors` vectors is compared whole.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = written(usable(vectors, id_col, vector_col), "vectors")
-    index = fit(rows, k, recall)
-    if index is None:
+    fitted = fit(rows, k, recall, anchors=anchors)
+    if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = spark.sparkContext.broadcast(fitted)
     queries = rows.filter(is_query(F.col("vec_id")))
     own = written(placed(rows, index), "listed")
-    # At most LISTS rows come to the driver and are sent back: the sizes of lists, the bins and their blocks.
-    bins, blocks = binned({r["list"]: r["count"] for r in own.groupBy("list").count().collect()}, len(index.centres))
+    # At most LISTS rows come to the driver and are sent back: the sizes and radii of lists, the bins and their blocks.
+    facts = {r["list"]: r for r in own.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    lists = len(fitted.centres)
+    total = sum(r["n"] for r in facts.values())
+    block = min(BLOCKS, max(block, total // PARTS))
+    radii = np.asarray([facts[m]["far"] if m in facts else 0.0 for m in range(lists)])
+    bins, blocks = binned({m: r["n"] for m, r in facts.items()}, lists, block)
     table = lambda pairs, schema: F.broadcast(spark.createDataFrame(pairs, schema))
-    of_list = table([(k_, int(b), blocks[int(b)]) for k_, b in enumerate(bins) if b >= 0], "list int, bin int, blocks int")
+    of_list = table([(m, int(b), blocks[int(b)]) for m, b in enumerate(bins) if b >= 0], "list int, bin int, blocks int")
     stored = own.join(of_list, "list").select("bin", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("b"), "vec_id", "v", "list")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
+    def best(x: pa.Table, q: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(x) and len(q):
+            names, of = np.unique(x["list"].to_numpy(), return_inverse=True)
+            vectors_, ids = _matrix(x["v"]), x["vec_id"].to_numpy()
+            for part in (q.slice(at, AT_ONCE) for at in range(0, len(q), AT_ONCE)):
+                probes = np.stack([np.isin(names, p) for p in part["lists"].to_pylist()])
+                found.append(scan(_matrix(part["v"]), part["vec_id"].to_numpy(), part["bound"].to_numpy(), probes, vectors_, ids, of, index.value, k))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
     def scanned(asked: DataFrame) -> DataFrame:
         """query_id, vec_id, score of the rows of probing()."""
         asked = written(asked, "probing")
@@ -266,22 +298,12 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = stored.join(size.drop("blocks"), "bin").select("bin", "b", every("query_blocks").alias("q"), "vec_id", "v", "list")
         right = asked.join(size, "bin").select("bin", every("blocks").alias("b"), F.pmod(F.xxhash64("vec_id"), "query_blocks").cast("int").alias("q"), "vec_id", "v", "bound", "lists")
-
-        def best(x: pa.Table, q: pa.Table) -> pa.Table:
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            if len(x) and len(q):
-                names, lists = np.unique(x["list"].to_numpy(), return_inverse=True)
-                vectors_, ids = _matrix(x["v"]), x["vec_id"].to_numpy()
-                for part in (q.slice(at, AT_ONCE) for at in range(0, len(q), AT_ONCE)):
-                    probes = np.stack([np.isin(names, p) for p in part["lists"].to_pylist()])
-                    found.append(scan(_matrix(part["v"]), part["vec_id"].to_numpy(), part["bound"].to_numpy(), probes, vectors_, ids, lists, index, k))
-            return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
         group = ["bin", "b", "q"]
         return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(best, "query_id long, vec_id long, score double")
 
     seeds = anchored(queries, index, k)
-    first = max(1, math.ceil(index.probes * FIRST))
-    near = written(ranked(scanned(probing(bounded(queries, ranked(seeds), index, k), index, bins, 0, first)).union(seeds)), "near")
-    rest = scanned(probing(bounded(queries, near, index, k), index, bins, first, index.probes))
+    first = max(1, math.ceil(fitted.probes * FIRST))
+    ask = lambda found, low, high: probing(bounded(queries, found, fitted.scale, k), index, bins, radii, low, high)
+    near = written(ranked(scanned(ask(ranked(seeds), 0, first)).union(seeds)), "near")
+    rest = scanned(ask(near, first, fitted.probes))
     return ranked(near.select("query_id", "vec_id", "score").union(rest)).select("query_id", "rank", "vec_id", "score")

@@ -309,6 +309,51 @@ def test_search_finds_the_nearest_and_exact_scores(spark):
     assert ann.search(table.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_probed_lists_hold_the_nearest_of_many_vectors(spark, clustered):
+    """Few anchors: nearly all results come through lists, bins, blocks and the scan that abandons candidates."""
+    draw = np.random.default_rng(12)
+    v = draw.normal(size=(40, 24))[draw.integers(0, 40, 6000)] + draw.normal(0, 0.15, (6000, 24)) if clustered else draw.normal(size=(6000, 24))
+    v = (v * draw.uniform(0.7, 1.3, (6000, 1))).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = ann.search(table, lambda i: i % 20 == 0, anchors=64, block=256).collect()
+    wide, found = v.astype(float), {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 6000, 20):
+        exact = (wide * wide[q]).sum(axis=1)
+        exact[q] = -np.inf
+        mine = sorted(found[q])
+        assert [k for k, _, _ in mine] == list(range(1, 21)) and all(s == pytest.approx(exact[i], abs=1e-12) for _, i, s in mine)
+        hits += len(set(np.argsort(-exact, kind="stable")[:20].tolist()) & {i for _, i, _ in mine})
+    assert hits / (20 * 300) >= 0.9
+
+
+def test_scan_abandons_only_what_its_bound_excludes():
+    draw = np.random.default_rng(5)
+    v = draw.normal(size=(500, 20))
+    dims = 21
+    index = ann.Index(np.linalg.qr(draw.normal(size=(dims, dims)))[0], float(np.linalg.norm(v, axis=1).max()), np.zeros((1, dims)), np.arange(480, 500))
+    q, ids, lists = v[:7], np.arange(500), np.arange(500) % 3
+    probes = np.array([[True, k % 2 == 0, False] for k in range(7)])
+    free = ann.scan(q, ids[:7], np.full(7, np.inf), probes, v, ids, lists, index, 5)
+    for i in range(7):
+        allowed = [j for j in range(480) if j != i and probes[i, lists[j]]]
+        want = sorted(allowed, key=lambda j: (-(v[j] * q[i]).sum(), j))[:5]
+        assert free[1][free[0] == i].tolist() == want
+    apart = ann.squared(index.turned(q, True), index.turned(v, False))
+    bounds = np.array([np.sort(apart[i, [j for j in range(480) if j != i]])[4] for i in range(7)])
+    tight = ann.scan(q, ids[:7], bounds, np.ones((7, 3), bool), v, ids, lists, index, 5)
+    kept = sum(len(set(tight[1][tight[0] == i].tolist()) & set(np.argsort(apart[i])[:6].tolist())) for i in range(7))
+    assert kept >= 0.8 * 35 and all(apart[a, b] <= bounds[a] + 1e-9 for a, b in zip(tight[0], tight[1], strict=True))
+
+
+def test_bins_hold_lists_up_to_a_block():
+    bins, blocks = ann.binned({0: 5, 1: 3, 3: 30, 4: 1, 5: 7}, 7, 8)
+    assert bins.tolist() == [0, 0, -1, 1, 2, 2, -1] and blocks == {0: 1, 1: 4, 2: 1}
+
+
 def test_few_candidates_are_all_found(spark):
     table = spark.createDataFrame([(20 * k, [float(k), 1.0]) for k in range(1, 6)], "vec_id long, embedding array<double>")
     got = ann.search(table, lambda i: i % 20 == 0).collect()
