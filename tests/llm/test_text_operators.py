@@ -131,6 +131,19 @@ def test_chunked_encoding_equals_one_call(chunk, overlap):
         assert resync.encode_whole(text, "byte_bpe_50k.json", chunk, overlap) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_chunked_encoding_at_production_sizes():
+    """Texts of several chunks; runs without a place to cut lie across a chunk's end, shorter and longer than overlaps and whole chunks."""
+    tok, chunk, overlap = resync.tokenizer("byte_bpe_50k.json"), resync.CHUNK, resync.OVERLAP
+    draw = random.Random(2)
+    words = [x for k in range(400) for x in junk(k, 3).split() or ["a"]]
+    prose = lambda n: (" ".join(draw.choice(words) for _ in range(n)) + " ")[:n]
+    runs = [overlap - 1, overlap, 3 * overlap, chunk // 2, chunk + 5]
+    texts = [prose(chunk - before) + run + " " + prose(chunk + 9) for n in runs for before in (overlap // 2, n // 2) for run in ("x" * n, "日本" * (n // 2))]
+    texts += [prose(chunk), prose(chunk + 1), prose(3 * chunk), " " * (chunk + 50), "<|endoftext|>" * (chunk // 10), prose(chunk - 6) + "<|endoftext|>" + prose(chunk)]
+    for text in texts:
+        assert resync.encode_whole(text, "byte_bpe_50k.json") == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_remembered_pieces_give_the_counts_of_whole_texts():
     tok = resync.tokenizer("byte_bpe_50k.json")
     texts = [junk(k, n) for k in range(300) for n in (6, 60)] + [" a", "a ", "\n", "a\n", "\na b", "a\nb c", "", " ", "a  b", "a\t b", "a\u3000b c", "x\0y z", "'s 's", "it's <|endoftext|> now<|endoftext|>"]
