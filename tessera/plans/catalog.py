@@ -11,7 +11,7 @@ from ..functions import keys as K
 from ..functions import normalize as N
 from ..functions import segment, similarity
 from ..functions import text as X
-from ..functions.tables import DIGRAPHS
+from ..functions.tables import DIGRAPHS, STATES, WEBSITE
 from ..operators import candidates as C
 from ..operators import context as W
 from ..operators import decide as P
@@ -69,8 +69,21 @@ def id_list_output(t: Tables) -> DataFrame:
     return tsv.id_lists(t.s1, P.decide(t.scored, 0.8))
 
 
-@query("rule:s n:i", "", "SELECT * FROM (VALUES ('match_not_candidate', 0), ('record_with_several_owners', 0), ('unknown_s1', 0), ('unknown_record', 0)) v(rule, n)")
+_BROKEN = "SELECT s1_id, cand_id FROM edges WHERE prob >= 0.6"
+
+
+@query("rule:s n:i", "edges s1", f"""SELECT 'match_not_candidate' AS rule, count(*) AS n FROM ({_BROKEN}) WHERE (s1_id, cand_id) NOT IN (SELECT s1_id, cand_id FROM edges WHERE prob >= 0.7)
+    UNION ALL SELECT 'record_with_several_owners', count(*) FROM (SELECT cand_id FROM ({_BROKEN}) GROUP BY cand_id HAVING count(*) > 1)
+    UNION ALL SELECT 'unknown_s1', count(*) FROM ({_BROKEN}) WHERE s1_id NOT IN (SELECT s1_id FROM s1 WHERE s1_id % 10 <> 0)
+    UNION ALL SELECT 'unknown_record', count(*) FROM ({_BROKEN}) WHERE cand_id % 7 = 0""")
 def integrity_violations(t: Tables) -> DataFrame:
+    """A result that breaks every rule: edges without owner decisions, some not candidates, some of unknown ids."""
+    return tsv.violations(t.s1.filter("s1_id % 10 <> 0"), t.attributes.filter("cand_id % 7 <> 0"), t.scored.filter("prob >= 0.7"), t.scored.filter("prob >= 0.6"))
+
+
+@query("rule:s n:i", "", "SELECT * FROM (VALUES ('match_not_candidate', 0), ('record_with_several_owners', 0), ('unknown_s1', 0), ('unknown_record', 0)) v(rule, n)")
+def integrity_of_decisions(t: Tables) -> DataFrame:
+    """A result of the decision rule, which breaks none."""
     return tsv.violations(t.s1, t.attributes, t.scored, P.decide(t.scored, 0.5))
 
 
@@ -115,9 +128,9 @@ def name_features(t: Tables) -> DataFrame:
     return N.with_name_features(lines, "line")
 
 
-@query("page_id:i host:s site:s", "", r"SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, replace(regexp_extract(lower(url), '(?:www\.)?([a-z0-9\-]+)\.(?:com|net|org)\b', 1), '-', '') AS site FROM pages")
+@query("page_id:i host:s site:s", "", f"SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, replace(regexp_extract(lower(url), '{WEBSITE}', 1), '-', '') AS site FROM pages")
 def website_extract(t: Tables) -> DataFrame:
-    return t.read("pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), F.replace(F.regexp_extract(F.lower("url"), r"(?:www\.)?([a-z0-9\-]+)\.(?:com|net|org)\b", 1), F.lit("-"), F.lit("")).alias("site"))
+    return t.read("pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), N.website(F.lower("url")).alias("site"))
 
 
 @query("entity_id:i addr_tokens:s addr_words:s addr_nums:s addr_state:s addr_empty:b", "", "SELECT * FROM addressed", **addresses_sql(_TEXTS))
@@ -125,9 +138,16 @@ def address_normalise(t: Tables) -> DataFrame:
     return N.with_address_features(t.read("documents").select(F.col("doc_id").alias("entity_id"), "text"), "text")
 
 
-@query("name:s addr_state:s", "", "SELECT n_name AS name, '' AS addr_state FROM nation")
+_STATE_NAMES = sorted(STATES)
+
+
+@query("c_custkey:i addr_state:s addr_tokens:s", "", f"""SELECT c_custkey, CASE WHEN place IS NULL THEN '' ELSE codes[place] END AS addr_state, '7 high street' || CASE WHEN place IS NULL THEN ' ' || lower(c_mktsegment) ELSE '' END AS addr_tokens
+    FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % {len(STATES)} + 1 END AS place, [{", ".join(f"'{STATES[k]}'" for k in _STATE_NAMES)}] AS codes FROM customer)""")
 def state_codes(t: Tables) -> DataFrame:
-    return N.with_address_features(t.read("nation").select(F.col("n_name").alias("name")), "name")
+    """Addresses that end in each state's name in turn, a fifth of them in a word that is none."""
+    names = F.array(*map(F.lit, _STATE_NAMES))
+    place = F.when(F.col("c_custkey") % 5 != 0, F.get(names, (F.col("c_custkey") % len(STATES)).cast("int"))).otherwise(F.col("c_mktsegment"))
+    return N.with_address_features(t.read("customer").select("c_custkey", F.concat(F.lit("7 High St, "), F.initcap(place)).alias("address")), "address")
 
 
 @query("w:s n:i", "records", f"SELECT w, count(*) AS n FROM (SELECT unnest({tokens_sql('name_full')}) AS w FROM records) GROUP BY w HAVING count(*) >= 3")
@@ -423,9 +443,9 @@ def hard_negatives(t: Tables) -> DataFrame:
     return D.hard_negatives(t.scored, t.truth)
 
 
-@query("cand_id:i model:s", "", None)
+@query("cand_id:i model:s", "edges truth sources", "SELECT s.cand_id, CASE WHEN t.s1_id IS NOT NULL THEN CASE WHEN t.s1_id % 2 = 0 THEN 'B' ELSE 'A' END WHEN substr(md5(CAST(s.cand_id AS VARCHAR)), 32) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'A' ELSE 'B' END AS model FROM sources s LEFT JOIN truth t ON t.cand_id = s.cand_id AND t.cand_id % 4 <> 0")
 def routed_models(t: Tables) -> DataFrame:
-    owners = t.truth.select("cand_id", X.fold_of(F.col("s1_id")).alias("fold"))
+    owners = t.truth.filter("cand_id % 4 <> 0").select("cand_id", X.fold_of(F.col("s1_id")).alias("fold"))
     return t.sources.join(owners, "cand_id", "left").select("cand_id", D.routed_model(F.col("fold"), F.col("cand_id")).alias("model"))
 
 
@@ -438,11 +458,16 @@ def edit_distance(t: Tables) -> DataFrame:
     return d.withColumn("d", F.levenshtein("name_full_a", "name_full_b"))
 
 
-@query("a:s b:s jw:f", "", "SELECT a.p_name AS a, b.p_name AS b, jaro_winkler_similarity(a.p_name, b.p_name) AS jw FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1]")
+_TURNED = "substr({0}, 3, 1) || substr({0}, 1, 2) || substr({0}, 4)"
+
+
+@query("k:i a:s b:s jw:f turned:f", "", f"SELECT a.p_partkey AS k, a.p_name AS a, b.p_name AS b, jaro_winkler_similarity(a.p_name, b.p_name) AS jw, jaro_winkler_similarity(a.p_name, {_TURNED.format('b.p_name')}) AS turned FROM part a JOIN part b ON b.p_partkey = a.p_partkey + a.p_partkey % 3")
 def jaro_winkler(t: Tables) -> DataFrame:
-    names = t.read("part").select("p_name", F.get(F.split("p_name", " "), F.lit(0)).alias("first")).distinct()
-    pairs = names.withColumnRenamed("p_name", "a").join(names.withColumnRenamed("p_name", "b"), "first")
-    return pairs.select("a", "b", similarity.pairwise(similarity.jaro_winkler, F.col("a"), F.col("b")).alias("jw"))
+    """Parts' names against their own or another's, as they are and with three letters in turn: one and a half transpositions."""
+    names = t.read("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"), (F.col("p_partkey") + F.col("p_partkey") % 3).alias("other"))
+    d = names.join(t.read("part").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b")), "other")
+    turned = F.concat(F.substring("b", 3, 1), F.substring("b", 1, 2), F.substr(F.col("b"), F.lit(4)))
+    return d.select("k", "a", "b", *(similarity.pairwise(similarity.jaro_winkler, F.col("a"), c).alias(n) for n, c in (("jw", F.col("b")), ("turned", turned))))
 
 
 def _scored_names(t: Tables, *scorers: str) -> DataFrame:
@@ -479,33 +504,18 @@ def token_set_features(t: Tables) -> DataFrame:
     return d.select("s1_id", "cand_id", *(c.alias(n) for n, c in Q.token_set_columns(d).items()))
 
 
-_CELLS = [(i, j) for i in (1, 2) for j in (1, 2)]
-
-
-def _num(i: int, j: int) -> dict[str, str]:
-    a, b = f"a[{i}]", f"b[{j}]"
-    gap = f"abs(CAST({a} AS BIGINT) - CAST({b} AS BIGINT))"
-    long = lambda f: f"coalesce((length({a}) > length({b}) AND {f}({a}, {b})) OR (length({b}) > length({a}) AND {f}({b}, {a})), false)"
-    pre, suf = long("starts_with"), long("ends_with")
-    return {"eq": f"coalesce({a} = {b}, false)", "pre": pre, "suf": suf, "gap": gap, "near": f"CASE WHEN {a} <> {b} THEN {gap} END", "same": f"CASE WHEN {a} <> {b} AND length({a}) = length({b}) THEN {gap} END", "kept": f"CASE WHEN {pre} OR {suf} THEN least(length({a}), length({b})) ELSE 0 END"}
-
-
-def _all(x: str, how: str) -> str:
-    return f" {how} ".join(f"({_num(i, j)[x]})" for i, j in _CELLS)
-
-
-def _listed(x: str) -> str:
-    return ", ".join(_num(i, j)[x] for i, j in _CELLS)
-
-
-def _log(x: str) -> str:
-    return f"coalesce(ln(1 + {x}), -1)"
+_LONGER = "((length(x) > length(y) AND {0}(x, y)) OR (length(y) > length(x) AND {0}(y, x)))"
+_NUMBERS = {
+    "sides": "SELECT p.s1_id, p.cand_id, string_split(x.addr_nums, ' ') AS a, string_split(y.addr_nums, ' ') AS b FROM number_pairs p JOIN numbers x ON x.entity_id = p.s1_id JOIN numbers y ON y.entity_id = p.cand_id",
+    "cell": "SELECT s1_id, cand_id, i, j, a[i] AS x, b[j] AS y FROM (SELECT *, unnest([1, 2, 3]) AS i FROM (SELECT *, unnest([1, 2, 3]) AS j FROM sides))",
+    "rel": f"SELECT *, i = 1 AND j = 1 AS f, coalesce(x = y, false) AS eq, coalesce({_LONGER.format('starts_with')}, false) AS pre, coalesce({_LONGER.format('ends_with')}, false) AS suf, abs(CAST(x AS BIGINT) - CAST(y AS BIGINT)) AS gap FROM cell",
+}
 
 
 @query("s1_id:s cand_id:s f_nr_first_prefix:i f_nr_first_suffix:i f_nr_first_logdiff:f f_nr_first_samelen:i f_nr_any_prefix:i f_nr_any_suffix:i f_nr_trunc_len:i f_nr_only_near:i f_nr_min_logdiff:f f_nr_min_logdiff_samelen:f", "numbers number_pairs",
-       f"""SELECT s1_id, cand_id, {_num(1, 1)['pre']} AS f_nr_first_prefix, {_num(1, 1)['suf']} AS f_nr_first_suffix, CASE WHEN {_num(1, 1)['eq']} THEN 0 ELSE {_log(_num(1, 1)['gap'])} END AS f_nr_first_logdiff, coalesce(length(a[1]) = length(b[1]), false) AS f_nr_first_samelen,
-       {_all('pre', 'OR')} AS f_nr_any_prefix, {_all('suf', 'OR')} AS f_nr_any_suffix, greatest({_listed('kept')}) AS f_nr_trunc_len, NOT ({_all('eq', 'OR')}) AND least({_listed('near')}) IS NOT NULL AS f_nr_only_near, {_log(f"least({_listed('near')})")} AS f_nr_min_logdiff, {_log(f"least({_listed('same')})")} AS f_nr_min_logdiff_samelen
-       FROM (SELECT p.s1_id, p.cand_id, string_split(x.addr_nums, ' ') AS a, string_split(y.addr_nums, ' ') AS b FROM number_pairs p JOIN numbers x ON x.entity_id = p.s1_id JOIN numbers y ON y.entity_id = p.cand_id)""")
+       """SELECT s1_id, cand_id, bool_or(f AND pre) AS f_nr_first_prefix, bool_or(f AND suf) AS f_nr_first_suffix, max(CASE WHEN f THEN CASE WHEN eq THEN 0 ELSE coalesce(ln(1 + gap), -1) END END) AS f_nr_first_logdiff, bool_or(f AND coalesce(length(x) = length(y), false)) AS f_nr_first_samelen,
+       bool_or(pre) AS f_nr_any_prefix, bool_or(suf) AS f_nr_any_suffix, max(CASE WHEN pre OR suf THEN least(length(x), length(y)) ELSE 0 END) AS f_nr_trunc_len, NOT bool_or(eq) AND count(gap) > 0 AS f_nr_only_near, coalesce(ln(1 + min(CASE WHEN NOT eq THEN gap END)), -1) AS f_nr_min_logdiff,
+       coalesce(ln(1 + min(CASE WHEN NOT eq AND length(x) = length(y) THEN gap END)), -1) AS f_nr_min_logdiff_samelen FROM rel GROUP BY s1_id, cand_id""", **_NUMBERS)
 def number_relations(t: Tables) -> DataFrame:
     return Q.number_relations(t.number_pairs, t.numbers)
 

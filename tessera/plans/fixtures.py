@@ -84,17 +84,23 @@ class Tables:
 
     @property
     def numbers(self) -> DataFrame:
-        """Records whose house numbers are keys of lineitem, S1 by order and others by part: entity_id, addr_nums."""
-        line = self.read("lineitem")
-        nums = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c))
-        a = line.select(F.concat(F.lit("o"), "l_orderkey", F.lit("-"), "l_linenumber").alias("entity_id"), nums("l_orderkey", "l_suppkey").alias("addr_nums"))
-        b = line.select(F.concat(F.lit("p"), "l_orderkey", F.lit("-"), "l_linenumber").alias("entity_id"), nums("l_partkey", "l_linenumber").alias("addr_nums"))
+        """Records whose house numbers are keys of lineitem, S1 by order and others by part: entity_id, addr_nums. S1 have three numbers, other
+        records three or two; the third ones are near or cut forms of the S1's."""
+        line, order, number = self._lines, F.col("l_orderkey"), F.col("l_linenumber")
+        nums = lambda *c: F.concat_ws(" ", *c)
+        a = line.select(F.concat(F.lit("o"), order, F.lit("-"), number).alias("entity_id"), nums(order, "l_suppkey", order % 997).alias("addr_nums"))
+        third = F.when(number % 3 == 0, (order % 997 + number).cast("string")).when(number % 3 == 1, F.left((order % 997).cast("string"), F.lit(2)))
+        b = line.select(F.concat(F.lit("p"), order, F.lit("-"), number).alias("entity_id"), nums("l_partkey", number, third).alias("addr_nums"))
         return a.unionByName(b)
 
     @property
     def number_pairs(self) -> DataFrame:
-        line = self.read("lineitem")
-        return line.select(*(F.concat(F.lit(x), "l_orderkey", F.lit("-"), "l_linenumber").alias(n) for x, n in (("o", "s1_id"), ("p", "cand_id")))).distinct()
+        return self._lines.select(*(F.concat(F.lit(x), "l_orderkey", F.lit("-"), "l_linenumber").alias(n) for x, n in (("o", "s1_id"), ("p", "cand_id"))))
+
+    @property
+    def _lines(self) -> DataFrame:
+        """A row for each order and line number, which several rows may have."""
+        return self.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
 
     @property
     def vectors(self) -> DataFrame:
@@ -143,14 +149,15 @@ CTES = {
     "s1": "SELECT s_suppkey AS s1_id, s_nationkey AS country FROM supplier",
     "sources": "SELECT DISTINCT cand_id, src FROM edges",
     "attributes": "SELECT p_partkey AS cand_id, p_name AS name, p_brand || ' ' || p_type AS address, CASE WHEN p_size % 7 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS nums FROM part",
-    "numbers": "SELECT 'o' || l_orderkey || '-' || l_linenumber AS entity_id, l_orderkey || ' ' || l_suppkey AS addr_nums FROM lineitem UNION ALL SELECT 'p' || l_orderkey || '-' || l_linenumber, l_partkey || ' ' || l_linenumber FROM lineitem",
-    "number_pairs": "SELECT DISTINCT 'o' || l_orderkey || '-' || l_linenumber AS s1_id, 'p' || l_orderkey || '-' || l_linenumber AS cand_id FROM lineitem",
+    "numbers": "SELECT 'o' || l_orderkey || '-' || l_linenumber AS entity_id, l_orderkey || ' ' || l_suppkey || ' ' || l_orderkey % 997 AS addr_nums FROM lines UNION ALL SELECT 'p' || l_orderkey || '-' || l_linenumber, l_partkey || ' ' || l_linenumber || CASE WHEN l_linenumber % 3 = 0 THEN ' ' || (l_orderkey % 997 + l_linenumber) WHEN l_linenumber % 3 = 1 THEN ' ' || left(CAST(l_orderkey % 997 AS VARCHAR), 2) ELSE '' END FROM lines",
+    "lines": "SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL",
+    "number_pairs": "SELECT 'o' || l_orderkey || '-' || l_linenumber AS s1_id, 'p' || l_orderkey || '-' || l_linenumber AS cand_id FROM lines",
     "vectors": "SELECT vec_id AS id, label AS country, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
     "keyed": f"SELECT entity_id, src, country, {order_free_sql('name_core')} AS k FROM records WHERE name_core <> ''",
     "name_pairs": "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM keyed a JOIN keyed b ON a.country = b.country AND a.k = b.k AND a.src = 1 AND b.src <> 1",
     "owned": "SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS rk FROM edges) WHERE rk = 1",
 }
-_NEEDS = {"records": "words", "truth": "edges", "sources": "edges", "keyed": "records", "name_pairs": "keyed", "owned": "edges"}
+_NEEDS = {"records": "words", "numbers": "lines", "number_pairs": "lines", "truth": "edges", "sources": "edges", "keyed": "records", "name_pairs": "keyed", "owned": "edges"}
 
 
 def with_ctes(names: str, body: str, /, **more: str) -> str:

@@ -147,6 +147,33 @@ def test_ratios():
     assert S.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4) and S.jaro_winkler("DIXON", "DICKSONX") == pytest.approx(0.8133, abs=1e-4) and S.jaro_winkler("", "") == 1 and S.jaro_winkler("a", "") == 0
 
 
+def brute_partial(a, b):
+    """Every stretch of the longer string, and of both where they are equally long."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    cut = lambda x, y: max(S.indel_ratio(x, y[max(0, i) : i + len(x)]) for i in range(1 - len(x), len(y)))
+    return max(cut(x, y) for x, y in ((a, b), (b, a)) if len(x) <= len(y))
+
+
+def test_partial_ratio_equals_every_stretch_and_is_symmetric():
+    draw = random.Random(1)
+    word = lambda n: "".join(draw.choice("abcd e") for _ in range(n))
+    pairs = [(word(draw.randint(0, 14)), word(draw.randint(0, 24))) for _ in range(1500)] + [(word(n), word(n)) for n in range(1, 13) for _ in range(60)]
+    for a, b in pairs:
+        assert S.partial_ratio(a, b) == pytest.approx(brute_partial(a, b)) == pytest.approx(S.partial_ratio(b, a)), (a, b)
+
+
+def test_jaro_winkler_equals_the_database_function():
+    import duckdb
+    import pandas as pd
+
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdef") for _ in range(draw.randint(1, 14)))
+    pairs = pd.DataFrame([(word(), word()) for _ in range(3000)] + [("abc111", "bca111"), ("abcdef", "fabcde")], columns=["a", "b"])
+    for a, b, want in duckdb.sql("SELECT a, b, jaro_winkler_similarity(a, b) FROM pairs").fetchall():
+        assert S.jaro_winkler(a, b) == pytest.approx(want, abs=1e-9), (a, b)
+
+
 def test_pairwise_counts_nulls_as_empty(spark):
     df = spark.createDataFrame([("ab", "ab"), (None, "x"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(S.pairwise(S.indel_ratio, F.col("a"), F.col("b"))).collect()] == [100.0, 0.0, 100.0]
