@@ -26,7 +26,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """mapInArrow over small batches: of BATCH_ROWS rows, and of about BATCH_BYTES, to which the session's bound is lowered.
 
     While a partition is read, Python's cycle collector rests: these functions make many small lists and no cycles, and the
-    collector would go through them again and again.
+    collector would go through them again and again. What the last partition's functions held goes at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,6 +34,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
         finally:
+            gc.collect(0)
             gc.enable()
 
     spark = df.sparkSession
