@@ -6,6 +6,7 @@ Records: entity_id, src, country, name_core, name_full, name_native, addr_tokens
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions.keys import addr_keys, char_trigrams, cross_keys, name_keys, nu
 from ..functions.similarity import indel_ratio, pairwise
 from ..functions.text import joined, name_variant_key, order_free, tokens
 from ..runtime import written
-from .tfidf import comb_cosines, cosines, grouped_cosines, pair_cosines, postings, top_k
+from .tfidf import cosines, grouped_cosines, pair_cosines, pair_scores, postings, top_k
 
 PAIR = ["s1_id", "cand_id"]
 MAX_DF = 6000
@@ -34,18 +35,16 @@ def sides(records: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
 
 def generate(records: DataFrame, k_name: int = 5, k_addr: int = 5, k_comb: int = 15, k_rev: int = 2, max_df: int = MAX_DF, rescues: list[DataFrame] | None = None) -> DataFrame:
     """All candidate pairs once: forward top-k by name, address and all views, reverse top-k by all views, and rescued pairs.
-    The four cosines of each pair are blk_name, blk_addr, blk_cross and blk_comb. Weights and cosines are tables in the shared folder, as many
-    parts read them."""
-    weights = written(postings(records, views(), max_df), "postings")
-    by_view = written(cosines(weights), "cosines")
-    comb = written(comb_cosines(weights, by_view), "comb")
-    parts = [top_k(by_view.filter("view = 'name'"), "s1_id", k_name), top_k(by_view.filter("view = 'addr'"), "s1_id", k_addr), top_k(comb, "s1_id", k_comb), top_k(comb, "cand_id", k_rev), *(rescues or ())]
-    pairs = parts[0].select(PAIR)
-    for p in parts[1:]:
-        pairs = pairs.union(p.select(PAIR))
-    pairs = pairs.distinct()
-    wide = by_view.groupBy(PAIR).pivot("view", ["name", "addr", "cross"]).agg(F.first("cos"))
-    return pairs.join(wide, PAIR, "left").join(comb.withColumnRenamed("cos", "comb"), PAIR, "left").select(*PAIR, *(F.coalesce(v, F.lit(0.0)).alias(f"blk_{v}") for v in ("name", "addr", "cross", "comb")))
+    The four cosines of each pair are blk_name, blk_addr, blk_cross and blk_comb. Weights and scores are tables in the shared folder, as several
+    parts read them; the scores of all pairs are read only by the top-k windows, which are limited before they sort, and by rescued pairs."""
+    scores = written(pair_scores(written(postings(records, views(), max_df), "postings"), ("name", "addr", "cross")), "scores")
+    parts = [top_k(scores, "s1_id", k_name, cos="name"), top_k(scores, "s1_id", k_addr, cos="addr"), top_k(scores, "s1_id", k_comb, cos="comb"), top_k(scores, "cand_id", k_rev, cos="comb")]
+    found = reduce(DataFrame.union, (p.drop("rk") for p in parts)).dropDuplicates(PAIR)
+    if rescues:
+        found = written(found, "found")
+        more = reduce(DataFrame.union, (r.select(PAIR) for r in rescues)).distinct().join(found, PAIR, "left_anti").join(scores, PAIR, "left")
+        found = found.union(more.select(found.columns))
+    return found.select(*PAIR, *(F.coalesce(v, F.lit(0.0)).alias(f"blk_{v}") for v in ("name", "addr", "cross", "comb")))
 
 
 def recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
@@ -127,7 +126,9 @@ def common_name_rescue(records: DataFrame, weights: DataFrame, top: int = 20, mi
     others = records.filter("src <> 1 and addr_nums <> '' and not addr_empty")
     least = others.select("country", "entity_id", F.explode(tokens(F.col("name_core"))).alias("word")).join(owners, ["country", "word"]).groupBy("entity_id").agg(F.min("n").alias("least")).filter(F.col("least") >= min_group)
     some = others.join(least, "entity_id", "left_semi").select(records.columns)
-    near = top_k(cosines(weights.filter("view = 'cross'")).join(some.select(F.col("entity_id").alias("cand_id")), "cand_id", "left_semi"), "cand_id", top, 0.01)
+    cross = weights.filter("view = 'cross'")
+    wanted = cross.filter("side = 2").join(some.select(F.col("entity_id").alias("id")), "id", "left_semi").select(cross.columns)
+    near = top_k(cosines(cross.filter("side = 1").union(wanted)), "cand_id", top, 0.01)
     again = _address_weights(records.filter("src = 1").unionByName(some))
     return _margins(pair_cosines(near.select(PAIR), again, "numword"), min_cos, min_margin)
 

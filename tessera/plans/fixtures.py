@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import LEGAL_FORMS, NAME_STOP, STATE_CODES
 from ..functions.text import plain_tokens
+from ..operators.candidates import MAX_DF
 
 LEGAL = sorted(set(LEGAL_FORMS.values()))
-#: A key of more records than this weighs nothing in the stand-in records.
-MAX_DF = 200
 
 
 class Tables:

@@ -371,22 +371,22 @@ def brute_top(scores, view, side, k):
 
 
 def test_blocking_queries_by_the_operators_limit_equal_brute_force(spark, tmp_path):
-    """260 records of a language share all keys of a name: more than the limit of the SQL, fewer than that of the operators."""
+    """260 records of a language share all keys of a name: fewer than the operators' limit, more than a limit of 200."""
     odd = {i: f"harbour supply {w}.\nx\n{i % 40} quay road" for i, w in enumerate(["north", "south", "east", "west"] * 5)}
     docs = [(i, odd.get(i, "harbour supply."), "en") for i in range(280)] + [(300 + i, "harbour supply.", "fr") for i in range(4)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     folder = str(tmp_path)
     scores = brute_cosines(spark, folder)
-    got = {(r["s1_id"], r["cand_id"]): r["cos"] for r in catalog.QUERIES["comb_cosine_whole"](spark, folder).collect()}
+    got = {(r["s1_id"], r["cand_id"]): r["cos"] for r in catalog.QUERIES["comb_cosine"](spark, folder).collect()}
     assert got == pytest.approx({p: cos["comb"] for p, cos in scores.items()}, abs=2e-6)
     top = brute_top(scores, "name", 0, 5) | brute_top(scores, "addr", 0, 5) | brute_top(scores, "comb", 0, 15) | brute_top(scores, "comb", 1, 2)
-    rows = {(r["s1_id"], r["cand_id"]): r for r in catalog.QUERIES["candidate_union_whole"](spark, folder).collect()}
+    rows = {(r["s1_id"], r["cand_id"]): r for r in catalog.QUERIES["candidate_union"](spark, folder).collect()}
     assert set(rows) == top
     for p, r in rows.items():
         assert [r[f"blk_{v}"] for v in ("name", "addr", "cross", "comb")] == pytest.approx([scores[p].get(v, 0.0) for v in ("name", "addr", "cross", "comb")], abs=2e-6)
     plain = {i for i, t, _ in docs if t == "harbour supply."}
     assert any(a in plain and b in plain for a, b in rows)
-    assert not any(r["s1_id"] in plain and r["cand_id"] in plain and r["s1_id"] < 300 for r in catalog.QUERIES["candidate_union"](spark, folder).collect())
+    assert not any(r["s1_id"] in plain and r["cand_id"] in plain and r["s1_id"] < 300 for r in candidates.generate(catalog.Tables(spark, folder).records, max_df=200).collect())
 
 
 def test_model_queries_use_the_operators_defaults(spark, monkeypatch):
