@@ -33,11 +33,13 @@ def sides(records: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return records.filter("src = 1").select(F.col("entity_id").alias("s1_id"), *kept), records.filter("src <> 1").select(F.col("entity_id").alias("cand_id"), *kept)
 
 
-def generate(records: DataFrame, k_name: int = 5, k_addr: int = 5, k_comb: int = 15, k_rev: int = 2, max_df: int = MAX_DF, rescues: list[DataFrame] | None = None) -> DataFrame:
+def generate(records: DataFrame, k_name: int = 5, k_addr: int = 5, k_comb: int = 15, k_rev: int = 2, max_df: int = MAX_DF, rescues: list[DataFrame] | None = None, weights: DataFrame | None = None) -> DataFrame:
     """All candidate pairs once: forward top-k by name, address and all views, reverse top-k by all views, and rescued pairs.
     The four cosines of each pair are blk_name, blk_addr, blk_cross and blk_comb. Weights and scores are tables in the shared folder, as several
-    parts read them; the scores of all pairs are read only by the top-k windows, which are limited before they sort, and by rescued pairs."""
-    scores = written(pair_scores(written(postings(records, views(), max_df), "postings"), ("name", "addr", "cross")), "scores")
+    parts read them; the scores of all pairs are read only by the top-k windows, which are limited before they sort, and by rescued pairs. weights: the table of
+    the records' postings, where there is one already."""
+    weights = weights or written(postings(records, views(), max_df), "postings")
+    scores = written(pair_scores(weights, ("name", "addr", "cross")), "scores")
     parts = [top_k(scores, "s1_id", k_name, cos="name"), top_k(scores, "s1_id", k_addr, cos="addr"), top_k(scores, "s1_id", k_comb, cos="comb"), top_k(scores, "cand_id", k_rev, cos="comb")]
     found = reduce(DataFrame.union, (p.drop("rk") for p in parts)).dropDuplicates(PAIR)
     if rescues:

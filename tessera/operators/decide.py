@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 PAIR = ["s1_id", "cand_id"]
 
 
@@ -217,9 +219,8 @@ def rescored(full: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def kept_rule(tuned: DataFrame, path: str) -> DataFrame:
-    """The best row of a tuned grid, from path if it is there already: thresholds are tuned once."""
+    """The best row of a tuned grid, from path if it is there whole already: thresholds are tuned once."""
     spark = tuned.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        best_of(tuned).coalesce(1).write.json(path)
+    if not stored(spark, path):
+        best_of(tuned).coalesce(1).write.mode("overwrite").json(path)
     return spark.read.schema(tuned.schema).json(path)

@@ -12,6 +12,7 @@ from ..functions import normalize as N
 from ..functions import segment, similarity
 from ..functions import text as X
 from ..functions.tables import DIGRAPHS, STATES, WEBSITE
+from ..linkage import Settings, concluded, link
 from ..operators import candidates as C
 from ..operators import context as W
 from ..operators import decide as P
@@ -21,8 +22,9 @@ from ..operators import model as M
 from ..operators import retrieval as D
 from ..operators import simulate as E
 from ..operators import tfidf as T
-from ..runtime import loose, written
-from ..sources import tsv
+from ..operators import zone as Z
+from ..runtime import loose, scratch, written
+from ..sources import parts, tsv
 from .fixtures import MAX_DF, Tables, order_free_sql, shaped, shaped_sql, tokens_sql, with_ctes
 from .normalize_sql import addresses_sql, fold_sql, names_sql
 
@@ -888,3 +890,88 @@ def owner_ranker(t: Tables) -> DataFrame:
 def embedded_names(t: Tables) -> DataFrame:
     vec = D.embed(t.read("part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("country"), "p_name"), "p_name", D.hashed_ngrams())
     return D.top2(vec.filter("id % 3 <> 0"), vec.filter("id % 3 = 0")).withColumn("cand_id", F.col("cand_id").cast("long"))
+
+
+# The uncertain zone and the whole linkage
+
+
+def _taught_logits(t: Tables) -> DataFrame:
+    return t.edges.filter("y = 1").select("s1_id", F.col("cand_id").cast("string").alias("cand_id"), F.col("prob").alias("ce_logit"))
+
+
+@query("s1_id:i cand_id:s ce_logit:f", "edges", "SELECT s1_id, cand_id || '#d1' AS cand_id, CASE WHEN y = 1 THEN prob ELSE -(s1_id % 10) / 10 END AS ce_logit FROM edges WHERE prob > 0.01 AND prob < 0.99")
+def filled_logits(t: Tables) -> DataFrame:
+    wanted = M.uncertain(t.scored).select("s1_id", F.concat("cand_id", F.lit("#d1")).alias("cand_id"))
+    return Z.filled_logits(wanted, [_taught_logits(t)], lambda d: d.withColumn("ce_logit", -(F.col("s1_id") % 10) / 10))
+
+
+_ZONE = {"lg": "SELECT s1_id, cand_id, round(prob * 4 - 2, 6) AS l FROM edges WHERE prob > 0.2 AND prob < 0.8", "lr": _LOGITS["lr"]}
+
+
+@query("s1_id:i cand_id:i prob:f p2_ce_logit:f p2_ce_rank_s1:i p2_ce_gap_cand:f", "edges", f"SELECT s1_id, cand_id, prob, l AS p2_ce_logit, rs AS p2_ce_rank_s1, l - {_GAPS.format('c', 'rc')} AS p2_ce_gap_cand FROM edges JOIN lr USING (s1_id, cand_id) {_WINDOWS}", **_ZONE)
+def zone_parts(t: Tables) -> DataFrame:
+    logits = M.uncertain(t.scored, 0.2, 0.8).select(*PAIR, F.round(F.col("prob") * 4 - 2, 6).alias("ce_logit"))
+    return Z.zone_rows(t.scored, logits)
+
+
+@query("s1_id:i cand_id:i p2_a_logit:f p2_b_logit:f p2_b_gap_s1:f", "edges", f"SELECT e.s1_id, e.cand_id, CASE WHEN y = 1 THEN prob END AS p2_a_logit, g.l AS p2_b_logit, g.gap AS p2_b_gap_s1 FROM edges e LEFT JOIN (SELECT s1_id, cand_id, l, l - {_GAPS.format('s', 'rs')} AS gap FROM lr {_WINDOWS}) g USING (s1_id, cand_id)", **_ZONE)
+def multi_logit_zone(t: Tables) -> DataFrame:
+    b = M.uncertain(t.scored, 0.2, 0.8).select(*PAIR, F.round(F.col("prob") * 4 - 2, 6).alias("ce_logit"))
+    return Z.zone_table(t.scored, {"a": t.edges.filter("y = 1").select(*PAIR, F.col("prob").alias("ce_logit")), "b": b}, ["b"])
+
+
+_LATER = "SELECT s1_id, cand_id, CASE WHEN prob > 0.01 AND prob < 0.99 AND y = 1 THEN round(1 - prob, 6) ELSE prob END AS prob FROM edges"
+_OWN = "SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS rk FROM {0}) WHERE rk = 1"
+
+
+@query("macro_f05:f n_pred:i tp:i fp:i fn:i", "edges truth s1", "SELECT avg(f05) AS macro_f05, sum(n_pred) AS n_pred, sum(tp) AS tp, sum(n_pred) - sum(tp) AS fp, sum(n_true) - sum(tp) AS fn FROM per", later=_LATER, own3=_OWN.format("later"), pred=_RULE.format(0.5, 0.75).replace("FROM owned", "FROM own3"), **_EVAL, per=_PER.format("", "s1", ""))
+def overlay_metrics(t: Tables) -> DataFrame:
+    later = t.edges.filter("y = 1").select("s1_id", "cand_id", F.round(1 - F.col("prob"), 6).alias("p3"))
+    return Z.overlay_metrics(t.scored, later, t.truth, t.s1, 0.5, 0.75)
+
+
+_META = {"meta": "SELECT s1_id, cand_id, CASE WHEN y = 1 THEN 0.9 ELSE prob END AS prob FROM edges", "metaown": _OWN.format("meta")}
+
+
+@query("thr_top:f thr_rest:f macro_f05:f", "edges truth s1", "SELECT thr_top, thr_rest, avg(f05) AS macro_f05 FROM per GROUP BY ALL ORDER BY round(avg(f05), 12) DESC, thr_top, thr_rest LIMIT 1", **_META, pred=f"SELECT thr_top, thr_rest, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS r FROM metaown), {_GRID} WHERE prob >= CAST(CASE WHEN r = 1 THEN thr_top ELSE thr_rest END AS DOUBLE)", **_EVAL, per=_PER.format("s.thr_top, s.thr_rest,", f"(SELECT * FROM s1, {_GRID})", "thr_top, thr_rest,"))
+def meta_rule(t: Tables) -> DataFrame:
+    meta = t.edges.filter("y = 1").select("s1_id", "cand_id", F.lit(0.9).alias("q"))
+    return Z.meta_rule(t.scored, meta, t.truth, t.s1, scratch(t.spark, "rule"))
+
+
+@query("macro_f05:f micro_precision:f micro_recall:f singleton_acc:f n:i", "edges truth s1", "SELECT avg(f05) AS macro_f05, sum(tp) / greatest(sum(n_pred), 1) AS micro_precision, sum(tp) / greatest(sum(n_true), 1) AS micro_recall, avg(CASE WHEN n_true = 0 THEN f05 END) AS singleton_acc, count(*) AS n FROM per", half="SELECT s1_id, cand_id, CASE WHEN y = 1 AND cand_id % 2 = 0 THEN 0.7 ELSE prob END AS prob FROM edges", own3=_OWN.format("half"), pred=_RULE.format(0.55, 0.8).replace("FROM owned", "FROM own3"), **_EVAL, per=_PER.format("", "s1", ""))
+def frozen_evaluation(t: Tables) -> DataFrame:
+    meta = t.edges.filter("y = 1 and cand_id % 2 = 0").select("s1_id", "cand_id", F.lit(0.7).alias("q"))
+    rule = t.spark.range(1).select(F.lit(0.55).alias("thr_top"), F.lit(0.8).alias("thr_rest"))
+    return Z.frozen_evaluation(rule, t.scored, meta, t.truth, t.s1)
+
+
+@query("s1_id:i cand_id:i prob:f y:i src:i extra:i", "edges", "SELECT s1_id, cand_id, prob, y, src, CASE WHEN y = 1 THEN cand_id % 5 END AS extra FROM edges")
+def part_scan(t: Tables) -> DataFrame:
+    """Edges in two folders: the second has a column of its own for some pairs, and one that the first one has already."""
+    folder = scratch(t.spark, "parts")
+    t.edges.write.parquet(f"{folder}/a")
+    t.edges.filter("y = 1").select(*PAIR, F.lit(-1.0).alias("PROB"), (F.col("cand_id") % 5).alias("extra")).write.parquet(f"{folder}/b")
+    return parts.read_parts(t.spark, [f"{folder}/a", f"{folder}/b"])
+
+
+_UNSEEN = "SELECT e.s1_id, e.cand_id, CASE WHEN country < 5 THEN round(1 - prob, 6) ELSE prob END AS prob, CASE WHEN country < 5 THEN 0.9 ELSE 0.5 END AS thr_top, CASE WHEN country < 5 THEN 0.9 ELSE 0.75 END AS thr_rest FROM edges e JOIN s1 USING (s1_id)"
+
+
+@query("s1_id:i cand_id:i prob:f", "edges s1", "SELECT d.s1_id, d.cand_id, d.prob FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS rk FROM joint) WHERE rk = 1)) d JOIN edges e USING (s1_id, cand_id) WHERE d.prob >= CASE WHEN r = 1 THEN thr_top ELSE thr_rest END AND e.prob >= 0.05", joint=_UNSEEN)
+def linkage_decisions(t: Tables) -> DataFrame:
+    """The decision part of the linkage: two chains of scores by country, one owner, rank rule or flat threshold, candidates only."""
+    own = t.scored.withColumn("prob", F.round(1 - F.col("prob"), 6))
+    scored = Z.override(t.scored, t.s1, t.s1.filter("country < 5").select("country").distinct(), own, 0.5, 0.75, 0.9)
+    return concluded(scored, t.scored.filter("prob >= 0.05")).matches
+
+
+@query("s1_id:s cand_id:s prob:f")
+def linkage_run(t: Tables) -> DataFrame:
+    """The whole linkage of shops, brands dealt to three countries: the truth of the first brands is known, the later ones' records are
+    matched; every fifth brand is of a country without labels."""
+    number = F.regexp_extract("country", "([0-9]+)$", 1).try_cast("int")
+    raw = t.raw.withColumn("n", number).withColumn("country", F.concat(F.lit("land "), F.when(F.col("n") % 5 == 0, F.lit("new")).otherwise((F.col("n") % 3).cast("string"))))
+    train = raw.filter("n <= 12 and n % 5 <> 0").drop("n")
+    truth = t.raw_truth.join(train.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+    return link(t.spark, train, truth, raw.filter("n > 12").drop("n"), scratch(t.spark, "linkage"), Settings()).matches

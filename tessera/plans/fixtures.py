@@ -53,6 +53,19 @@ class Tables:
         d = self.read("part").select(key.alias("entity_id"), (key % 3 + 1).alias("src"), F.col("p_brand").alias("country"), name.alias("name_core"), name.alias("name_full"), blank(F.concat_ws(" ", "p_size", F.lower("p_type"), key % 7 + 100, "p_name")).alias("addr_tokens"), blank(F.concat_ws(" ", F.lower("p_type"), "p_name")).alias("addr_words"), blank(numbers).alias("addr_nums"), empty.alias("addr_empty"))
         return d
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        """Raw records as a linkage reads them, from shops, whose brand is their town; ids are strings."""
+        d = self.shops
+        return d.select(F.col("entity_id").cast("string").alias("entity_id"), F.initcap("name_full").alias("business_name"), F.when(F.col("addr_empty"), "").otherwise(F.concat_ws(", ", F.concat_ws(" ", F.split_part("addr_nums", F.lit(" "), F.lit(1)), "addr_words"), F.concat(F.lit("Town "), F.replace("country", F.lit("#"), F.lit(""))), F.split_part("addr_nums", F.lit(" "), F.lit(2)))).alias("business_address"), "country", "src")
+
+    @property
+    def raw_truth(self) -> DataFrame:
+        """The S1 of a brand that has a part's name as it was before it was misspelt: the smallest."""
+        part = self.read("part").select("p_partkey", "p_name", "p_brand")
+        first = part.filter("p_partkey % 3 = 0").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("s1_id"))
+        return part.filter("p_partkey % 3 <> 0").join(first, ["p_name", "p_brand"]).select(F.col("s1_id").cast("string").alias("s1_id"), F.col("p_partkey").cast("string").alias("cand_id"))
+
     @cached_property
     def edges(self) -> DataFrame:
         """s1_id, cand_id, prob, y, src."""

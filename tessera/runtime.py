@@ -51,18 +51,23 @@ def _filesystem(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in this application's folder, which goes when the application ends."""
+    own = _own(spark)
+    if own not in _ending:
+        path, files = _filesystem(spark, own)
+        files.deleteOnExit(path)
+        _ending.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it is worked out once, cuts lineage and outlives lost executors.
 
     The table stays until sweep(), clear() or the application's end, since results that are read later may depend on it.
     """
     spark = df.sparkSession
-    own = _own(spark)
-    at = f"{own}/{name}-{uuid.uuid4().hex}"
-    if own not in _ending:
-        path, files = _filesystem(spark, own)
-        files.deleteOnExit(path)
-        _ending.add(own)
+    at = scratch(spark, name)
     _made.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
@@ -88,6 +93,12 @@ def clear(spark: SparkSession) -> None:
     _made.clear()
 
 
+def stored(spark: SparkSession, at: str) -> bool:
+    """Whether a table was written there to its end."""
+    path, files = _filesystem(spark, f"{at}/_SUCCESS")
+    return files.exists(path)
+
+
 def loose(df: DataFrame) -> DataFrame:
     """An aggregated table for joins on its own keys, without its partitioning.
 
