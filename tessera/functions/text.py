@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import tables
+from . import romanise, tables
 
 _FROM, _TO, _SEVERAL = tables.latin_folding()
 
@@ -32,11 +32,33 @@ def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+#: Texts with a character that romanised() spells out.
+SPELLED = "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in (*romanise.BLOCKS, romanise.HANGUL)) + "]"
+
+
+def romanised(s: Column) -> Column:
+    """Letters of other scripts as romanise.py spells them, each by its place in a table."""
+    table = F.split(F.lit("|".join(romanise.spellings())), r"\|")
+    lead, middle, tail = (F.split(F.lit("|".join(x)), r"\|") for x in (romanise.LEADS, romanise.MIDDLES, romanise.TAILS))
+
+    def one(c: Column) -> Column:
+        code, out, start = F.ascii(c), F.lit(None).cast("string"), 0
+        for a, b in romanise.BLOCKS:
+            out = F.when((code >= a) & (code <= b), F.get(table, code - (a - start))).otherwise(out)
+            start += b - a + 1
+        k = code - romanise.HANGUL[0]
+        parts = F.concat(F.get(lead, F.floor(k / 588).cast("int")), F.get(middle, F.floor(k % 588 / 28).cast("int")), F.get(tail, (k % 28).cast("int")))
+        out = F.when((code >= romanise.HANGUL[0]) & (code <= romanise.HANGUL[1]), F.replace(parts, F.lit("-"), F.lit(""))).otherwise(out)
+        return F.when(out != romanise.SAME, out).otherwise(c)
+
+    return F.when(F.rlike(s, F.lit(SPELLED)), F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)(.)"), F.lit(1)), one), "")).otherwise(s)
+
+
 def fold(s: Column) -> Column:
-    """Latin letters without their marks. Other scripts stay as they are: a learned map may romanise them."""
+    """Latin letters without their marks, letters of other scripts romanised."""
     for c, plain in _SEVERAL:
         s = F.replace(s, F.lit(c), F.lit(plain))
-    return F.translate(s, _FROM, _TO)
+    return romanised(F.translate(s, _FROM, _TO))
 
 
 def is_native(s: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions import romanise as R
 from ..functions import tables as T
-from ..functions.text import _FROM, _SEVERAL, _TO
+from ..functions.text import _FROM, _SEVERAL, _TO, SPELLED
 
 
 def quoted(s: str) -> str:
@@ -13,7 +14,15 @@ def quoted(s: str) -> str:
 def fold_sql(x: str) -> str:
     for c, plain in _SEVERAL:
         x = f"replace({x}, {quoted(c)}, {quoted(plain)})"
-    return f"translate({x}, {quoted(_FROM)}, {quoted(_TO)})"
+    x = f"translate({x}, {quoted(_FROM)}, {quoted(_TO)})"
+    table = lambda values: f"string_split({quoted('|'.join(values))}, '|')"
+    cases, start = "", 1
+    for a, b in R.BLOCKS:
+        cases += f"WHEN ord(c) BETWEEN {a} AND {b} AND {table(R.spellings())}[ord(c) - {a - start}] <> '{R.SAME}' THEN {table(R.spellings())}[ord(c) - {a - start}] "
+        start += b - a + 1
+    k = f"(ord(c) - {R.HANGUL[0]})"
+    cases += f"WHEN ord(c) BETWEEN {R.HANGUL[0]} AND {R.HANGUL[1]} THEN replace({table(R.LEADS)}[{k} // 588 + 1] || {table(R.MIDDLES)}[{k} % 588 // 28 + 1] || {table(R.TAILS)}[{k} % 28 + 1], '-', '')"
+    return f"list_transform([{x}], lambda x: CASE WHEN regexp_matches(x, {quoted(SPELLED)}) THEN array_to_string(list_transform(regexp_extract_all(x, '(?s).'), lambda c: CASE {cases} ELSE c END), '') ELSE x END)[1]"
 
 
 def _map(values: dict[str, str]) -> str:

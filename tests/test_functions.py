@@ -56,7 +56,7 @@ NAMES = {
     "Café Société S.A.R.L.": {"name_core": "cafe societe", "name_legal": "sarl"},
     "Phone 123456789 Shop (India)": {"name_full": "phone shop india", "name_core": "phone shop india"},
     "": {"name_full": "", "name_core": "", "name_native": False},
-    "लक्ष्मी Traders": {"name_native": True, "name_core": "traders"},
+    "लक्ष्मी Traders": {"name_native": True, "name_core": "lkshmi traders"},
 }
 
 
@@ -147,6 +147,28 @@ def test_ratios():
     assert S.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4) and S.jaro_winkler("DIXON", "DICKSONX") == pytest.approx(0.8133, abs=1e-4) and S.jaro_winkler("", "") == 1 and S.jaro_winkler("a", "") == 0
 
 
+ROMANISED = {
+    "दिल्ली": "dilli", "लक्ष्मी स्टोर्स": "lkshmi stors", "मुंबई १२": "munbi 12", "ঢাকা": "dhaka", "తెలుగు": "telugu", "ગુજરાત": "gujrat", "ଓଡ଼ିଆ": "odia",
+    "Москва Щука": "Moskva Shchuka", "Αθήνα": "Athina", "القاهرة": "alqahrt", "ירושלים": "yrvshlym", "さいたま カタカナ": "saitama katakana", "서울 한국": "seoul hanguk",
+    "日本 café": "日本 cafe", "plain": "plain", "😀 я": "😀 ya", "": "",
+}
+
+
+def test_other_scripts_are_romanised_letter_by_letter(spark):
+    from tessera.functions import romanise
+
+    df = spark.createDataFrame([(k,) for k in ROMANISED], "s string")
+    assert {r["s"]: r["r"] for r in df.select("s", X.fold(F.col("s")).alias("r")).collect()} == ROMANISED
+    blocks = [chr(c) for a, b in romanise.BLOCKS for c in range(a, b + 1)]
+    got = spark.createDataFrame([(c,) for c in blocks], "s string").select("s", X.romanised(F.col("s")).alias("r")).collect()
+    assert {r["s"]: r["r"] for r in got} == {c: c if x == romanise.SAME else x for c, x in zip(blocks, romanise.spellings(), strict=True)}
+
+
+def test_spelling_variants_of_romanised_and_written_names_meet(spark):
+    key = lambda s: one(spark, s, lambda c: X.name_variant_key(F.lower(X.fold(c))))
+    assert key("लक्ष्मी") == key("Laxmi") == key("lakshmi") and key("दिल्ली") == key("Delhi".replace("lh", "ll"))
+
+
 def brute_partial(a, b):
     """Every stretch of the longer string, and of both where they are equally long."""
     if not a or not b:
