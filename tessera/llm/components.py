@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import loose
 from .common import written
 
 
-def _star(pairs: DataFrame, name: str) -> DataFrame:
-    """pairs (x, y) with m, the least of x and its neighbours. The minima are a table of their own, so that Spark may
+def _star(pairs: DataFrame) -> DataFrame:
+    """pairs (x, y) with m, the least of x and its neighbours. The minima join without their partitioning, so that Spark may
     split the join where one x has very many neighbours."""
-    least = written(pairs.groupBy("x").agg(F.min("y").alias("m")), name)
+    least = loose(pairs.groupBy("x").agg(F.min("y").alias("m")))
     return pairs.join(least, "x").withColumn("m", F.least("x", "m"))
 
 
@@ -31,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct(), "edges")
     while not _settled(now):
         both = now.union(now.select("y", "x"))
-        large = written(_star(both, "least").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
-        small = _star(large, "least")
+        large = written(_star(both).filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        small = _star(large)
         now = written(small.select("x", F.col("m").alias("y")).union(small.filter("y <> m").select("y", "m")).distinct(), "small")
     return now.select(F.col("x").alias("id"), F.col("y").alias("component")).union(now.select("y", "y").distinct())

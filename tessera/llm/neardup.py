@@ -97,7 +97,7 @@ def links(nodes: DataFrame, radius: int = 2, groups: int | None = None, crowd: i
     probes = [sum(masks[k] for k in kept) for kept in combinations(range(groups), groups - radius)]
     point = nodes.select("f", embedding(F.col("f")).alias("e"))
     spread = point.select("f", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(_signed(m))) for m in probes))).alias("probe", "cell"))
-    sizes = written(spread.groupBy("probe", "cell").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
+    sizes = loose(spread.groupBy("probe", "cell").agg(F.count("*").alias("n")).filter("n > 1"))
     shared = written(spread.join(sizes, ["probe", "cell"]), "shared")
     few = shared.filter(F.col("n") <= crowd)
     a, b = few.alias("a"), few.alias("b")
@@ -145,17 +145,18 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     broadcasts if their table is small. Rows of an id that loses some rows but not all are fingerprinted again.
     """
     prints, of = _classed(docs, words, radius, 42, "doc_id", "text")
-    rows = prints.filter("doc_id is not null").groupBy("doc_id", "f").agg(F.count("*").alias("n"))
-    judged = rows.join(of, "f").select("doc_id", "f", "n", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
-    judged = written(judged, "judged")
-    ids = written(judged.groupBy("doc_id").agg((~F.bool_and("stays") | (F.max("n") > 1)).alias("loses"), F.bool_or("stays").alias("some")).filter("loses"), "losing")
+    judged = prints.filter("doc_id is not null").join(of, "f").select("doc_id", "f", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    stays = F.col("stays")
+    each = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(stays).alias("kept"), F.countDistinct(F.when(stays, F.col("f"))).alias("texts"))
+    # Ids that lose a row: one that goes, or one of several equal ones.
+    ids = written(each.filter("n > texts").select("doc_id", (F.col("kept") > 0).alias("some")), "losing")
     known = docs.filter("doc_id is not null")
     whole = known.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     mark = "_f"
     while mark.lower() in map(str.lower, docs.columns):
         mark = "_" + mark
     parted = _with_fingerprint(known.join(ids.filter("some").select("doc_id"), "doc_id", "left_semi").select(docs.columns), words, mark)
-    stay = judged.filter("stays").select("doc_id", F.col("f").alias(mark))
+    stay = judged.filter(stays).select("doc_id", F.col("f").alias(mark))
     parted = parted.join(stay, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
     return whole.unionByName(parted).unionByName(docs.filter("doc_id is null"))
 
