@@ -193,7 +193,22 @@ def component_links(t: Tables) -> DataFrame:
     return L.component_links(*_word_sets(t), min_link=2, share=0.5)
 
 
-@query("country:s x:s kind:s canon:s", "", None)
+_CLASSES = {
+    "links": "SELECT country, x, y FROM cb JOIN single USING (country, x) WHERE n >= 2 AND n >= 0.5 * m",
+    "ends": "SELECT country, x, y FROM links UNION SELECT country, y, x FROM links",
+    "reach": "SELECT country, x, x AS r FROM ends UNION SELECT reach.country, reach.x, ends.y FROM reach JOIN ends ON ends.country = reach.country AND ends.x = reach.r",
+    "class": "SELECT country, x, min(r) AS label FROM reach GROUP BY ALL",
+    "each": "SELECT country, entity_id, unnest(c) AS x FROM comps",
+    "freq": "SELECT country, x, count(*) AS f FROM each GROUP BY ALL",
+    "canon": "SELECT country, label, arg_min(x, (-coalesce(f, 0), x)) AS canon FROM class LEFT JOIN freq USING (country, x) GROUP BY ALL",
+    "often": "SELECT country, x FROM freq JOIN (SELECT country, count(*) AS n FROM comps GROUP BY ALL) USING (country) WHERE f >= 0.002 * n",
+    "present": "SELECT * FROM each SEMI JOIN often USING (country, x)",
+    "hubs": "SELECT c.country, c.label, count(DISTINCT z.x) AS hub FROM canon c JOIN present a ON a.country = c.country AND a.x = c.canon JOIN present z ON z.country = a.country AND z.entity_id = a.entity_id AND z.x <> a.x WHERE NOT EXISTS (SELECT 1 FROM class k WHERE k.country = c.country AND k.label = c.label AND k.x = z.x) GROUP BY ALL",
+    "kinds": "SELECT country, x, canon, coalesce(hub, 0) >= 4 AS state FROM class JOIN canon USING (country, label) LEFT JOIN hubs USING (country, label)",
+}
+
+
+@query("country:s x:s kind:s canon:s", "name_pairs", "SELECT country, x, CASE WHEN state THEN 'state' ELSE 'alias' END AS kind, CASE WHEN state THEN replace(canon, ' ', '_') ELSE canon END AS canon FROM kinds WHERE state OR x <> canon", **_LINKS, **_CLASSES)
 def component_alignment(t: Tables) -> DataFrame:
     anchors, comps = _word_sets(t)
     return L.component_map(L.component_links(anchors, comps, min_link=2, share=0.5), comps)
@@ -469,19 +484,52 @@ def jaro_winkler(t: Tables) -> DataFrame:
     return d.select("k", "a", "b", *(similarity.pairwise(similarity.jaro_winkler, F.col("a"), c).alias(n) for n, c in (("jw", F.col("b")), ("turned", turned))))
 
 
-def _scored_names(t: Tables, *scorers: str) -> DataFrame:
-    d = Q.joined_records(t.name_pairs, t.records, ["name_full", "addr_tokens"])
-    return d.select("s1_id", "cand_id", *(similarity.pairwise(similarity.SCORERS[s], F.col("name_full_a"), F.col("name_full_b")).alias(s) for s in scorers))
+def _named_pairs(t: Tables) -> DataFrame:
+    """k, a, b: parts' names and types against their own or another's, some without type, letters or all."""
+    key, part = F.col("p_partkey"), t.read("part")
+    whole = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    a = part.select(key.alias("k"), F.when(key % 50 == 0, "").otherwise(whole).alias("a"), (key + key % 3).alias("other"))
+    less = F.concat(F.replace("p_name", F.lit("e"), F.lit("")), F.when(key % 4 == 0, "").otherwise(F.concat(F.lit(" "), F.lower("p_type"))))
+    b = part.select(key.alias("other"), F.when(key % 75 == 0, "").when(key % 5 == 0, whole).otherwise(less).alias("b"))
+    return a.join(b, "other").select("k", "a", "b")
 
 
-@query("s1_id:i cand_id:i ratio:f partial:f")
+_NAMED = {
+    "b0": "SELECT p_partkey AS k, p_name || ' ' || lower(p_type) AS w, replace(p_name, 'e', '') || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' ' || lower(p_type) END AS l FROM part",
+    "np": "SELECT x.k, CASE WHEN x.k % 50 = 0 THEN '' ELSE x.w END AS a, CASE WHEN y.k % 75 = 0 THEN '' WHEN y.k % 5 = 0 THEN y.w ELSE y.l END AS b FROM b0 x JOIN b0 y ON y.k = x.k + x.k % 3",
+}
+# One row of the table of common subsequences after another: each holds the lengths for all starts of x, and follows from the one before
+# and from where the next character of y stands in x.
+_LCS = {
+    "chars": "SELECT DISTINCT x, y, regexp_extract_all(x, '(?s).') AS a, regexp_extract_all(y, '(?s).') AS b FROM ask",
+    "ratio": """SELECT x, y, CASE WHEN x = '' AND y = '' THEN 100.0 ELSE 200.0 * list_reduce(
+        list_prepend(list_transform(range(len(a) + 1), lambda z: 0), list_transform(b, lambda c: list_transform(list_prepend('', a), lambda q: CASE WHEN q = c THEN 1 ELSE 0 END))),
+        lambda row, hit: list_reduce(list_transform(range(1, len(row) + 1), lambda i: [CASE WHEN i = 1 THEN 0 WHEN hit[i] = 1 THEN row[i - 1] + 1 ELSE row[i] END]), lambda done, v: list_append(done, greatest(done[-1], v[1]))))[-1] / (len(a) + len(b)) END AS r FROM chars""",
+}
+_STRETCH = "unnest(list_transform(range(1 - length(p), length(q)), lambda i: substr(q, greatest(i, 0) + 1, least(length(p) + i, length(p)))))"
+
+
+@query("k:i a:s b:s ratio:f partial:f", "", "SELECT k, a, b, r AS ratio, CASE WHEN a = '' OR b = '' THEN CASE WHEN a = b THEN 100 ELSE 0 END ELSE best END AS partial FROM np JOIN ratio ON x = a AND y = b LEFT JOIN (SELECT k, max(r) AS best FROM cut JOIN ratio ON x = p AND y = c GROUP BY k) USING (k)", **_NAMED,
+       sides="SELECT k, a AS p, b AS q FROM np WHERE length(a) <= length(b) AND a <> '' UNION ALL SELECT k, b, a FROM np WHERE length(b) <= length(a) AND b <> ''", cut=f"SELECT k, p, {_STRETCH} AS c FROM sides", ask="SELECT a AS x, b AS y FROM np UNION SELECT p, c FROM cut", **_LCS)
 def indel_ratio(t: Tables) -> DataFrame:
-    return _scored_names(t, "ratio", "partial")
+    return _scored(_named_pairs(t), "ratio", "partial")
+
+
+_SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
 
 
-@query("s1_id:i cand_id:i tsort:f tset:f")
+@query("k:i a:s b:s tsort:f tset:f", "", """SELECT k, a, b, s.r AS tsort, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN CASE WHEN a = b THEN 100 ELSE 0 END WHEN common <> '' AND (len(l) = 0 OR len(r0) = 0) THEN 100 ELSE greatest(e.r, CASE WHEN common <> '' THEN greatest(f.r, g.r) ELSE 0 END) END AS tset
+    FROM parted JOIN ratio s ON s.x = sa AND s.y = sb JOIN ratio e ON e.x = one AND e.y = two JOIN ratio f ON f.x = common AND f.y = one JOIN ratio g ON g.x = common AND g.y = two""", **_NAMED,
+       tokened=f"SELECT k, a, b, {_SORTED.format('a')} AS sa, {_SORTED.format('b')} AS sb, {tokens_sql('a')} AS ta, {tokens_sql('b')} AS tb FROM np",
+       split="SELECT *, list_sort(list_distinct(list_intersect(ta, tb))) AS m, list_sort(list_distinct(list_filter(ta, lambda z: NOT list_contains(tb, z)))) AS l, list_sort(list_distinct(list_filter(tb, lambda z: NOT list_contains(ta, z)))) AS r0 FROM tokened",
+       parted="SELECT *, array_to_string(m, ' ') AS common, array_to_string(list_concat(m, l), ' ') AS one, array_to_string(list_concat(m, r0), ' ') AS two FROM split",
+       ask="SELECT sa AS x, sb AS y FROM parted UNION SELECT one, two FROM parted UNION SELECT common, one FROM parted UNION SELECT common, two FROM parted", **_LCS)
 def token_set_ratio(t: Tables) -> DataFrame:
-    return _scored_names(t, "tsort", "tset")
+    return _scored(_named_pairs(t), "tsort", "tset")
+
+
+def _scored(d: DataFrame, *scorers: str) -> DataFrame:
+    return d.select("k", "a", "b", *(similarity.pairwise(similarity.SCORERS[s], F.col("a"), F.col("b")).alias(s) for s in scorers))
 
 
 def _size(x: str, y: str, op: str) -> str:

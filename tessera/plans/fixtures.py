@@ -185,7 +185,7 @@ def with_ctes(names: str, body: str, /, **more: str) -> str:
     for n in names.split():
         add(n)
     parts = [f"{n} AS ({CTES[n]})" for n in wanted] + [f"{n} AS ({q})" for n, q in more.items()]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
 _SQL = {"g": "round(CAST({0} AS DOUBLE), 9) + 0.0 AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "f": "round(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}", "s": 'CAST("{0}" AS VARCHAR) AS "{0}"', "b": "CAST({0} AS BOOLEAN) AS {0}", "t": "CAST({0} AS TIMESTAMP) AS {0}"}
