@@ -154,7 +154,19 @@ def vocab_counts(t: Tables) -> DataFrame:
     return L.word_counts(t.records.withColumns({"name_concat": F.lit(""), "name_native": F.lit(False)}))
 
 
-@query("page_id:i words:s", "", None)
+# Of each end the least cost and the start of its last piece, one end after the other; then the starts from the last end back.
+_SEGMENTS = {
+    "vocab": f"SELECT w, count(*) AS n FROM (SELECT unnest({tokens_sql('name_full')}) AS w FROM records) GROUP BY w HAVING count(*) >= 3",
+    "known": "SELECT map(list(w) FILTER (WHERE length(w) > 1 OR w = 'a'), list(-ln(n / t)) FILTER (WHERE length(w) > 1 OR w = 'a')) AS costs, 5 + ln(any_value(t)) AS unknown FROM (SELECT *, sum(n) OVER () AS t FROM vocab)",
+    "hosts": r"SELECT page_id, coalesce(string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.')[1], '') AS text FROM pages",
+    "least": """SELECT text, list_reduce(list_prepend([[0.0::DOUBLE, 0.0]], list_transform(range(1, length(text) + 1), lambda e: [[e::DOUBLE]])), lambda done, v: list_append(done,
+        list_reduce(list_transform(range(greatest(0, v[1][1]::BIGINT - 20), v[1][1]::BIGINT), lambda i: [done[i + 1][1] + coalesce(costs[substr(text, i + 1, v[1][1]::BIGINT - i)], unknown * (v[1][1] - i)), i]), lambda x, y: CASE WHEN y[1] < x[1] THEN y ELSE x END))) AS best
+        FROM (SELECT DISTINCT text FROM hosts WHERE length(text) >= 6), known""",
+    "cuts": "SELECT text, list_reverse(list_reduce(list_prepend([length(text)], list_transform(range(length(text)), lambda i: [i])), lambda ends, v: CASE WHEN ends[-1] > 0 THEN list_append(ends, best[ends[-1] + 1][2]::BIGINT) ELSE ends END)) AS c FROM least",
+}
+
+
+@query("page_id:i words:s", "records", "SELECT page_id, coalesce(array_to_string(list_transform(range(1, len(c)), lambda i: substr(text, c[i] + 1, c[i + 1] - c[i])), ' '), text) AS words FROM hosts LEFT JOIN cuts USING (text)", **_SEGMENTS)
 def viterbi_segment(t: Tables) -> DataFrame:
     counts = L.word_counts(t.records.withColumns({"name_concat": F.lit(""), "name_native": F.lit(False)}))
     host = F.coalesce(F.get(F.split(F.regexp_extract("url", "^https?://([^/?#]*)", 1), r"\."), F.lit(0)), F.lit(""))
