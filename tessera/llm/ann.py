@@ -17,6 +17,7 @@ rows; the rows of a larger one are dealt into blocks of about that size, as are
 group of its own, so that a list with a third of all rows is many groups of bounded size. Of each group a query's k best go on; equal scores are
 ordered by vec_id. Each vector moves once for each query block of its bin, each query once for each block that it probes; blocks grow with the
 table up to BLOCKS rows, so that larger tables make fewer copies for each pair that they compare. The work remains queries times probed vectors.
+Wide vectors make the sample and the blocks smaller (SAMPLE_BYTES, BLOCK_BYTES); the rotation takes 8 D^2 bytes in each process.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Of rows
 that repeat an id the one with the largest vector, in the order of arrays, counts. An empty table gives no rows. Only the id and vector columns are read.
@@ -40,6 +41,8 @@ from .common import map_arrow, ship, written
 SAMPLE, LISTS, ANCHORS, TRIALS = 20_000, 4_096, 2_048, 256
 #: Rows of a block: the least and the most, and so many blocks of the table that all cores have work. Queries of a query block.
 BLOCK, BLOCKS, PARTS, QUERY_BLOCK = 2_048, 16_384, 64, 16_384
+#: Bytes, as doubles, that bound the sample and a block for wide vectors.
+SAMPLE_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20
 #: Columns of a scan step, and how many standard errors above the k-th best an estimate must be to be abandoned.
 STEP, ERRORS = 16, 2.1
 #: The share of a query's lists that is scanned first, and queries that are scanned at once.
@@ -100,7 +103,8 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
     facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).alias("norm")).first()
     if not facts["n"]:
         return None
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    width = rows.select(F.size("v")).first()[0]
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fitting(sample, width, SAMPLE_BYTES)).toArrow()
     v, ids = _matrix(got["v"]), got["vec_id"].to_numpy()
     draw = np.random.default_rng(seed)
     dims = v.shape[1] + 1
@@ -130,6 +134,11 @@ def fit(rows: DataFrame, k: int = 20, recall: float = 0.95, sample: int = SAMPLE
     return index
 
 
+def fitting(rows: int, width: int, size: int) -> int:
+    """rows, or as many vectors of this width as fit into size bytes, 64 at least."""
+    return max(64, min(rows, size // (8 * width)))
+
+
 def _kind(rows: DataFrame) -> str:
     return dict(rows.dtypes)["v"]
 
@@ -271,7 +280,8 @@ def search(
     facts = {r["list"]: r for r in own.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     lists = len(fitted.centres)
     total = sum(r["n"] for r in facts.values())
-    block = min(BLOCKS, max(block, total // PARTS))
+    width = len(fitted.rotation)
+    block, query_block = (fitting(n, width, BLOCK_BYTES) for n in (min(BLOCKS, max(block, total // PARTS)), QUERY_BLOCK))
     radii = np.asarray([facts[m]["far"] if m in facts else 0.0 for m in range(lists)])
     bins, blocks = binned({m: r["n"] for m, r in facts.items()}, lists, block)
     table = lambda pairs, schema: F.broadcast(spark.createDataFrame(pairs, schema))
@@ -293,7 +303,7 @@ def search(
     def scanned(asked: DataFrame) -> DataFrame:
         """query_id, vec_id, score of the rows of probing()."""
         asked = written(asked, "probing")
-        many = asked.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+        many = asked.groupBy("bin").agg(F.ceil(F.count("*") / query_block).cast("int").alias("query_blocks"))
         size = table([(r["bin"], r["query_blocks"], blocks[r["bin"]]) for r in many.collect()], "bin int, query_blocks int, blocks int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = stored.join(size.drop("blocks"), "bin").select("bin", "b", every("query_blocks").alias("q"), "vec_id", "v", "list")

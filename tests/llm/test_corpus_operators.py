@@ -349,6 +349,11 @@ def test_scan_abandons_only_what_its_bound_excludes():
     assert kept >= 0.8 * 35 and all(apart[a, b] <= bounds[a] + 1e-9 for a, b in zip(tight[0], tight[1], strict=True))
 
 
+def test_wide_vectors_make_smaller_blocks():
+    assert ann.fitting(20_000, 64, ann.SAMPLE_BYTES) == 20_000 and ann.fitting(20_000, 3_072, ann.SAMPLE_BYTES) == 2_730
+    assert ann.fitting(16_384, 65, ann.BLOCK_BYTES) == 16_384 and ann.fitting(16_384, 10**9, ann.BLOCK_BYTES) == 64
+
+
 def test_bins_hold_lists_up_to_a_block():
     bins, blocks = ann.binned({0: 5, 1: 3, 3: 30, 4: 1, 5: 7}, 7, 8)
     assert bins.tolist() == [0, 0, -1, 1, 2, 2, -1] and blocks == {0: 1, 1: 4, 2: 1}
