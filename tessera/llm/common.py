@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship, written
 
-__all__ = ["held_out", "labelled_sample", "map_arrow", "read", "ship", "strings", "written"]
+__all__ = ["held_out", "labelled_sample", "map_arrow", "process_memory", "read", "ship", "strings", "written"]
 
 #: Rows and bytes that a function gets at once; a row that is larger by itself comes alone.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -44,6 +44,18 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+_memory: dict[str, dict] = {}
+
+
+def process_memory(owner: str) -> dict:
+    """What an operator remembers in this process between partitions. One operator's memory is held at a time: a process that goes over to
+    another stage of a pipeline drops what the stage before has remembered."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = {}
+    return _memory[owner]
+
+
 def strings(batch: pa.RecordBatch, i: int) -> list[str]:
     """Column i as strings, null as empty."""
     return [t or "" for t in batch.column(i).to_pylist()]

@@ -25,12 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings, written
+from .common import map_arrow, process_memory, strings, written
 from .resync import tokenizer
 
 #: Words and parts of words that a process remembers; then it starts anew. Long ones are not remembered.
 CACHE, CACHE_LENGTH = 1_500_000, 32
-_by_file: dict[str, dict[str, bytes]] = {}
 #: Stands between words that are encoded in one call: a pre-token and an id of its own.
 _BETWEEN = "\x01"
 #: Latin letters, then ASCII marks but the apostrophe: the tokenizer's pattern parts such a word there, and lowers its letters.
@@ -60,7 +59,7 @@ def _ids(texts: list[str], file: str) -> list[bytes]:
     This tokenizer drops white space and never joins across it, so a text's ids are those of its words in order; each
     word is encoded when the process first meets it.
     """
-    known = _by_file.setdefault(file, {})
+    known = process_memory("packing").setdefault(file, {})
     if len(known) > CACHE:
         known.clear()
     words = [t.replace("\n", " ").split(" ") for t in texts]

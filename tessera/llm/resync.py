@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings
+from .common import map_arrow, process_memory, strings
 
 #: Texts of more characters are encoded in chunks.
 CHUNK = 32_768
@@ -93,7 +93,6 @@ def encode_whole(text: str, file: str, chunk: int = CHUNK, overlap: int = OVERLA
 
 #: Pieces whose counts a process remembers; then it starts anew. Long ones are not remembered.
 CACHE, CACHE_LENGTH = 1_000_000, 32
-_counts: dict[str, dict[str, int]] = {}
 _UNSURE = re.compile(r"\s[ \n]")
 
 
@@ -104,7 +103,7 @@ def _piece(key: str) -> str:
 
 def count_short(texts: list[str], file: str) -> list[int]:
     """Token counts of texts of one chunk."""
-    tok, known = tokenizer(file), _counts.setdefault(file, {})
+    tok, known = tokenizer(file), process_memory("token counts").setdefault(file, {})
     if len(known) > CACHE:
         known.clear()
     sure = [i for i, t in enumerate(texts) if "\0" not in t and not _UNSURE.search(t)]
