@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import LEGAL_FORMS, NAME_STOP, STATE_CODES
 from ..functions.text import plain_tokens
 from ..operators.candidates import MAX_DF
+from ..runtime import loose
 
 LEGAL = sorted(set(LEGAL_FORMS.values()))
 
@@ -120,13 +121,16 @@ class Tables:
 
     @property
     def name_pairs(self) -> DataFrame:
-        """S1 and other records of a country whose names share the same set of words, with label: equal quality labels."""
+        """S1 and other records of a country whose names share the same set of words: each with the first and the last of the other side, so
+        that a name that very many records share gives as many pairs as it has records."""
         from ..functions.text import order_free
 
-        d = self.records.filter("name_core <> ''").withColumn("key", order_free(F.col("name_core")))
-        a = d.filter("src = 1").select("country", "key", F.col("entity_id").alias("s1_id"))
-        b = d.filter("src <> 1").select("country", "key", F.col("entity_id").alias("cand_id"))
-        return a.join(b, ["country", "key"]).select("s1_id", "cand_id")
+        d = self.records.filter("name_core <> ''").select("entity_id", "src", "country", order_free(F.col("name_core")).alias("key"))
+        of = lambda f, s1: f(F.when((F.col("src") == 1) == s1, F.col("entity_id")))
+        ends = loose(d.groupBy("country", "key").agg(F.array(of(F.min, True), of(F.max, True)).alias("a"), F.array(of(F.min, False), of(F.max, False)).alias("b")))
+        both = d.join(ends, ["country", "key"]).withColumn("other", F.explode(F.when(F.col("src") == 1, F.col("b")).otherwise(F.col("a")))).filter("other is not null")
+        one = F.col("src") == 1
+        return both.select(F.when(one, F.col("entity_id")).otherwise(F.col("other")).alias("s1_id"), F.when(one, F.col("other")).otherwise(F.col("entity_id")).alias("cand_id")).distinct()
 
 
 def _in(values: list[str]) -> str:
@@ -166,7 +170,7 @@ CTES = {
     "number_pairs": "SELECT 'o' || l_orderkey || '-' || l_linenumber AS s1_id, 'p' || l_orderkey || '-' || l_linenumber AS cand_id FROM lines",
     "vectors": "SELECT vec_id AS id, label AS country, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
     "keyed": f"SELECT entity_id, src, country, {order_free_sql('name_core')} AS k FROM records WHERE name_core <> ''",
-    "name_pairs": "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM keyed a JOIN keyed b ON a.country = b.country AND a.k = b.k AND a.src = 1 AND b.src <> 1",
+    "name_pairs": "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM (SELECT *, entity_id IN (min(entity_id) OVER w, max(entity_id) OVER w) AS e FROM keyed WHERE src = 1 WINDOW w AS (PARTITION BY country, k)) a JOIN (SELECT *, entity_id IN (min(entity_id) OVER w, max(entity_id) OVER w) AS e FROM keyed WHERE src <> 1 WINDOW w AS (PARTITION BY country, k)) b ON a.country = b.country AND a.k = b.k AND (a.e OR b.e)",
     "owned": "SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS rk FROM edges) WHERE rk = 1",
 }
 _NEEDS = {"records": "words", "numbers": "lines", "number_pairs": "lines", "truth": "edges", "sources": "edges", "keyed": "records", "name_pairs": "keyed", "owned": "edges"}
