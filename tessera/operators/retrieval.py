@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import loose, ship, written
 
 #: Rows of a block of either side in the blocked search.
 BLOCK = 2_048
@@ -51,20 +51,19 @@ def hashed_ngrams(dims: int = 256, n: int = 3) -> Callable[[list[str]], np.ndarr
     return encode
 
 
-def top2(queries: DataFrame, targets: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
-    """cand_id, s1_id, cos, rk: the k targets of each query's country with the largest dot product, ties by s1_id.
+def _blocked(queries: DataFrame, targets: DataFrame, group: list[str], k: int, block: int) -> DataFrame:
+    """cand_id, s1_id, cos: each query's k best targets of its group, and perhaps more, ties by s1_id.
 
-    Both sides of a country are dealt into blocks by a hash of the id, and each pair of blocks is a group that one matrix product
-    answers; only a query's k best leave a group. Block counts come from the countries' sizes, a small table of as many rows as countries.
+    Both sides of a group are dealt into blocks by a hash of the id, and each pair of blocks is a group that one matrix product
+    answers; only a query's k best leave a block. Block counts come from the groups' sizes, a table of as many rows as groups.
     """
-    ship(queries.sparkSession)
-    targets = targets.toDF(*targets.columns)
-    blocks = lambda d, n: d.groupBy("country").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
-    sizes = blocks(queries, "nq").join(blocks(targets, "nt"), "country")
+    targets = targets.toDF(*targets.columns)  # own columns, also where both sides are of one table
+    blocks = lambda d, n: d.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    sizes = blocks(queries, "nq").join(blocks(targets, "nt"), group)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(sizes, "country").select("country", deal("nq").alias("a"), every("nt").alias("b"), "id", "vec")
-    t = targets.join(sizes, "country").select("country", every("nq").alias("a"), deal("nt").alias("b"), "id", "vec").toDF("country", "a", "b", "id", "vec")  # own columns, also where both sides are of one table
+    q = queries.join(sizes, group).select(*group, deal("nq").alias("a"), every("nt").alias("b"), "id", "vec")
+    t = targets.join(sizes, group).select(*group, every("nq").alias("a"), deal("nt").alias("b"), "id", "vec").toDF(*group, "a", "b", "id", "vec")
     kind = targets.schema["id"].dataType.simpleString()
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -75,9 +74,61 @@ def top2(queries: DataFrame, targets: DataFrame, k: int = 2, block: int = BLOCK)
         top = np.argsort(-dots, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"cand_id": np.repeat(x["id"].to_numpy(), top.shape[1]), "s1_id": y["id"].to_numpy()[top.reshape(-1)], "cos": np.take_along_axis(dots, top, axis=1).reshape(-1)})
 
-    some = q.groupBy("country", "a", "b").cogroup(t.groupBy("country", "a", "b")).applyInPandas(best, f"cand_id {queries.schema['id'].dataType.simpleString()}, s1_id {kind}, cos double")
+    key = [*group, "a", "b"]
+    return q.groupBy(*key).cogroup(t.groupBy(*key)).applyInPandas(best, f"cand_id {queries.schema['id'].dataType.simpleString()}, s1_id {kind}, cos double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("cand_id").orderBy(F.desc("cos"), "s1_id")
-    return some.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)
+    return found.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)
+
+
+def top2(queries: DataFrame, targets: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
+    """cand_id, s1_id, cos, rk: the k targets of each query's country with the largest dot product, ties by s1_id. All pairs of a country are compared."""
+    ship(queries.sparkSession)
+    return _ranked(_blocked(queries, targets, ["country"], k, block), k)
+
+
+def pruned_top(queries: DataFrame, targets: DataFrame, k: int = 2, pivots: int = 256, block: int = BLOCK) -> DataFrame:
+    """The rows of top2, without comparing what cannot be among them.
+
+    Targets are dealt to the nearest of some of them, the pivots. No target of a pivot's cell has a larger dot product with a query than the
+    pivot's own plus the query's length times the cell's radius. A query scans the cell with the largest bound first, and then the cells whose
+    bound reaches the k-th best found there. The clearer the vectors cluster, the fewer those are; without clusters all remain.
+    At most `pivots` vectors come to the driver, and a query carries one bound for each cell of its country.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    some = [r["vec"] for r in targets.orderBy(F.xxhash64("id"), "id").select("vec").limit(pivots).collect()]
+    if not some:
+        return top2(queries, targets, k, block)
+    shared = spark.sparkContext.broadcast(np.asarray(some, float))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        for b in batches:
+            v = np.stack(b["vec"]) if len(b) else np.zeros((0, p.shape[1]))
+            near = np.argmin((p * p).sum(axis=1) - 2 * v @ p.T, axis=1)
+            yield b.assign(p=near.astype(np.int32), far=np.sqrt(((v - p[near]) ** 2).sum(axis=1)))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        for b in batches:
+            v = np.stack(b["vec"]) if len(b) else np.zeros((0, p.shape[1]))
+            yield b.assign(dots=list(v @ p.T), length=np.sqrt((v * v).sum(axis=1)))
+
+    shape = lambda d: f"id {d.schema['id'].dataType.simpleString()}, country {d.schema['country'].dataType.simpleString()}, vec array<double>"
+    placed = written(targets.select("id", "country", "vec").mapInPandas(place, f"{shape(targets)}, p int, far double"), "placed")
+    cells = placed.groupBy("country", "p").agg(F.max("far").alias("far")).groupBy("country").agg(F.collect_list(F.struct("p", "far")).alias("cells"))
+    asked = queries.select("id", "country", "vec").mapInPandas(measure, f"{shape(queries)}, dots array<double>, length double").join(loose(cells), "country")
+    bound = F.transform("cells", lambda c: F.struct((F.get(F.col("dots"), c["p"]) + F.col("length") * c["far"]).alias("bound"), c["p"].alias("p")))
+    asked = written(asked.select("id", "country", "vec", F.reverse(F.array_sort(bound)).alias("asks")), "asked")
+    scanned = lambda d: _blocked(d.select("country", "p", "id", "vec"), placed.select("country", "p", "id", "vec"), ["country", "p"], k, block)
+    near = written(_ranked(scanned(asked.withColumn("p", F.col("asks")[0]["p"])), k), "near")
+    least = near.filter(F.col("rk") == k).select(F.col("cand_id").alias("id"), F.col("cos").alias("least"))
+    rest = F.filter(F.slice(F.col("asks"), F.lit(2), F.size("asks")), lambda a: a["bound"] >= F.coalesce("least", F.lit(float("-inf"))) - 1e-8)
+    later = asked.join(least, "id", "left").select("country", "id", "vec", F.explode(rest).alias("ask")).withColumn("p", F.col("ask.p"))
+    return _ranked(near.drop("rk").union(scanned(later)), k)
 
 
 def runner_up(top: DataFrame) -> DataFrame:

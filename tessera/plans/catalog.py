@@ -448,6 +448,12 @@ def dense_top2(t: Tables) -> DataFrame:
     return _top2(t)
 
 
+@query("cand_id:i s1_id:i cos:f rk:i", "vectors", "SELECT * FROM top2", dots=_DOTS, top2=_TOP2)
+def dense_pruned(t: Tables) -> DataFrame:
+    v = t.vectors
+    return D.pruned_top(v.filter("id % 3 <> 0"), v.filter("id % 3 = 0"))
+
+
 @query("cand_id:i s1_id:i bi_cos:f bi_gap:f", "vectors", "SELECT cand_id, max(CASE WHEN rk = 1 THEN s1_id END) AS s1_id, max(CASE WHEN rk = 1 THEN cos END) AS bi_cos, max(CASE WHEN rk = 1 THEN cos END) - max(CASE WHEN rk = 2 THEN cos END) AS bi_gap FROM top2 GROUP BY cand_id", dots=_DOTS, top2=_TOP2)
 def dense_margin(t: Tables) -> DataFrame:
     return D.runner_up(_top2(t)).withColumn("bi_gap", F.col("bi_cos") - F.col("bi_cos2"))

@@ -176,6 +176,23 @@ def test_word_risk_uses_the_other_fold(spark):
     assert got[0]["f_extra_rate_min"] == 0 and got[1]["f_extra_rate_min"] == 1 and got[1]["f_missing_rate_mean"] == 1 and got[3]["f_extra_rate_min"] == -1 and got[3]["f_extra_n"] == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_pruned_search_equals_the_whole_one(spark, clustered):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(12, 6)) * 5
+    v = centres[draw.integers(0, 12, 700)] + draw.normal(0, 0.2, (700, 6)) if clustered else draw.normal(size=(700, 6))
+    v[40:60] = v[40]  # ties
+    rows = [(i, "ab"[i % 5 == 0], x.tolist()) for i, x in enumerate(v)] + [(900, "c", [0.0] * 6), (901, "d", [1.0] * 6)]
+    d = spark.createDataFrame(rows, "id long, country string, vec array<double>")
+    q, t = d.filter("id % 2 = 0"), d.filter("id % 2 = 1")
+    key = lambda x: sorted((r["cand_id"], r["rk"], r["s1_id"], round(r["cos"], 8)) for r in x.collect())
+    for k in (1, 3):
+        assert key(retrieval.pruned_top(q, t, k, pivots=20, block=50)) == key(retrieval.top2(q, t, k))
+    assert retrieval.pruned_top(q, t.limit(0)).count() == retrieval.pruned_top(q.limit(0), t).count() == 0
+
+
 def test_retrieval_blocks_agree_with_one_block(spark):
     rows = [(k, k % 2, [float((k * 7 + j * 3) % 11) for j in range(6)]) for k in range(60)]
     v = spark.createDataFrame(rows, "id long, country long, vec array<double>").withColumn("vec", retrieval.normalised(F.col("vec")))
