@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import os
 import shutil
+import threading
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipping = threading.Lock()
+
+
 def ship(spark: SparkSession | None = None) -> None:
     """Hands this package to the executors' Python, which may not have it installed, once for each application.
 
     Without an active session it does nothing."""
     spark = spark or SparkSession.getActiveSession()
-    if spark is None or getattr(spark.sparkContext, "_tessera_shipped", False):
+    if spark is None:
         return
     sc, package = spark.sparkContext, Path(__file__).resolve().parent
-    sc.addPyFile(shutil.make_archive(os.path.join(sc._temp_dir, package.name), "zip", package.parent, package.name))
-    sc._tessera_shipped = True
+    with _shipping:  # steps that run side by side may both come first
+        if not getattr(sc, "_tessera_shipped", False):
+            sc.addPyFile(shutil.make_archive(os.path.join(sc._temp_dir, package.name), "zip", package.parent, package.name))
+            sc._tessera_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
