@@ -4,11 +4,13 @@ import json
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.segment import Segmenter, segmented_by_table
-from tessera.operators import candidates, context, decide, features, learn, model, retrieval, simulate, tfidf
+from tessera.operators import blocks, candidates, context, decide, features, learn, model, retrieval, simulate, tfidf
 from tessera.plans import catalog
 from tessera.sources import tsv
 from tessera.streaming import linkage
@@ -406,6 +408,72 @@ def test_blocking_queries_by_the_operators_limit_equal_brute_force(spark, tmp_pa
     assert not any(r["s1_id"] in plain and r["cand_id"] in plain and r["s1_id"] < 300 for r in candidates.generate(catalog.Tables(spark, folder).records, max_df=200).collect())
 
 
+def copied_documents(spark, folder):
+    """Names of few words and many copies, one id in two languages, a null language and a null text."""
+    words = ["harbour", "supply", "north", "quayside", "mill"]
+    docs = [(i, f"{words[i % 5]} {words[i % 3]} {words[i * i % 4]}.\nx\n{i % 7} {words[i % 2]} road", "en" if i % 4 else "fr") for i in range(90)]
+    docs += [(200 + i, "harbour supply.\n5 mill road", "en") for i in range(40)] + [(4, "harbour supply.\n5 mill road", "fr"), (400, "mill", None), (401, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def duck_rows(name, folder):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return sorted(c.execute(oracle_sql()[name]).fetchall())
+
+
+def unshuffled_pairs(df):
+    """No grouping of all pairs and no join of postings is in the plan, which joins only the countries' sizes."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "MapInArrow" in plan and "SortMergeJoin" not in plan and "keys=[s1_id" not in plan
+
+
+@pytest.mark.parametrize("name", ["candidate_union", "blocking_recall", "comb_cosine", "topk_forward_name", "topk_reverse_comb"])
+def test_blocked_scores_equal_the_sql(spark, tmp_path, monkeypatch, name):
+    """Many small blocks; ties among copies; ids that several countries have."""
+    for k, v in {"ONES": 7, "OTHERS": 13}.items():
+        monkeypatch.setattr(blocks, k, v)
+    folder = copied_documents(spark, tmp_path)
+    got = catalog.QUERIES[name](spark, folder)
+    if name in ("comb_cosine", "topk_reverse_comb", "topk_forward_name"):  # the others score in a table before
+        assert unshuffled_pairs(got)
+    rows, want = sorted(tuple(r) for r in got.collect()), duck_rows(name, folder)
+    assert len(rows) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(rows, want, strict=True))
+
+
+@pytest.mark.parametrize("cells", [1, 50, 400, 10**6])
+def test_a_block_gives_its_best_pairs_whatever_the_chunks(monkeypatch, cells):
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    monkeypatch.setattr(blocks, "PRODUCTS", 16)
+    draw = np.random.default_rng(cells)
+    rows = [(s, v, i, sorted(draw.choice(30, 5, replace=False).tolist()), draw.choice([0.1, 0.2, 0.3], 5).tolist()) for s, n in ((1, 37), (2, 53)) for i in range(n) for v in ("name", "addr") if (i + s) % 5 or v == "name"]
+    table = pa.table({c: pa.array(x, t) for c, x, t in zip(("side", "view", "id", "keys", "ws"), zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)})
+    k, scores = {(s, i): 0 for s, _, i, _, _ in rows}, {}
+    for s, _, i, _, _ in rows:
+        k[s, i] += 1
+    for s, v, i, ks, ws in rows:
+        for s2, v2, j, ks2, ws2 in rows:
+            if (s, s2) == (1, 2) and v == v2 and set(ks) & set(ks2):
+                one = scores.setdefault((i, j), {"name": 0.0, "addr": 0.0})
+                one[v] += sum(w * dict(zip(ks2, ws2, strict=True)).get(q, 0.0) for q, w in zip(ks, ws, strict=True))
+    for p, one in scores.items():
+        one["comb"] = (one["name"] + one["addr"]) / math.sqrt(k[1, p[0]] * k[2, p[1]])
+    picks = (("name", "s1_id", 3), ("comb", "s1_id", 4), ("comb", "cand_id", 2))
+    schema = pa.schema([("s1_id", pa.int64()), ("cand_id", pa.int64()), ("name", pa.float64()), ("addr", pa.float64()), ("comb", pa.float64()), ("picked", pa.int32())])
+    out = [r for b in blocks._batches(blocks._Block(table), ("name", "addr", "comb"), picks, 0.02, schema) for r in b.to_pylist()]
+    for bit, (score, by, n) in enumerate(picks):
+        own = {(r["s1_id"], r["cand_id"]) for r in out if r["picked"] >> bit & 1}
+        assert own == brute_top({p: {score: c[score]} for p, c in scores.items() if c[score]}, score, 0 if by == "s1_id" else 1, n)
+    assert all(r[c] == pytest.approx(scores[r["s1_id"], r["cand_id"]][c]) for r in out for c in ("name", "addr", "comb"))
+    every = [(r["s1_id"], r["cand_id"]) for b in blocks._batches(blocks._Block(table), ("comb",), (), 0.0, pa.schema([schema.field(0), schema.field(1), schema.field(4)])) for r in b.to_pylist()]
+    assert sorted(every) == sorted(scores)
+
+
 def test_model_queries_use_the_operators_defaults(spark, monkeypatch):
     seen = {}
 
