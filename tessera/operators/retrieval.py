@@ -71,8 +71,17 @@ def _blocked(queries: DataFrame, targets: DataFrame, group: list[str], k: int, b
             return pd.DataFrame({"cand_id": x["id"][:0], "s1_id": y["id"][:0], "cos": np.zeros(0)})
         y = y.sort_values("id")
         dots = np.round(np.stack(x["vec"]) @ np.stack(y["vec"]).T, 9)
-        top = np.argsort(-dots, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"cand_id": np.repeat(x["id"].to_numpy(), top.shape[1]), "s1_id": y["id"].to_numpy()[top.reshape(-1)], "cos": np.take_along_axis(dots, top, axis=1).reshape(-1)})
+        if k > 8 or not np.isfinite(dots).all():
+            top = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+            cos = np.take_along_axis(dots, top, axis=1)
+        else:  # a few maxima are far cheaper than a sort; argmax takes the first of equal ones, which has the smallest id
+            top, rows = np.zeros((len(x), min(k, len(y))), np.int64), np.arange(len(x))
+            cos = np.zeros(top.shape)
+            for r in range(top.shape[1]):
+                top[:, r] = dots.argmax(axis=1)
+                cos[:, r] = dots[rows, top[:, r]]
+                dots[rows, top[:, r]] = -np.inf
+        return pd.DataFrame({"cand_id": np.repeat(x["id"].to_numpy(), top.shape[1]), "s1_id": y["id"].to_numpy()[top.reshape(-1)], "cos": cos.reshape(-1)})
 
     key = [*group, "a", "b"]
     return q.groupBy(*key).cogroup(t.groupBy(*key)).applyInPandas(best, f"cand_id {queries.schema['id'].dataType.simpleString()}, s1_id {kind}, cos double")
@@ -89,6 +98,25 @@ def top2(queries: DataFrame, targets: DataFrame, k: int = 2, block: int = BLOCK)
     return _ranked(_blocked(queries, targets, ["country"], k, block), k)
 
 
+def top2_of_texts(queries: DataFrame, targets: DataFrame, encoder: Callable[[list[str]], np.ndarray], k: int = 2, block: int = BLOCK) -> DataFrame:
+    """The rows of top2 over embed() of both sides' records (entity_id, country, text), each text of a country encoded and compared once.
+
+    Equal texts have equal vectors. A query's k best targets are among the k smallest ids of the k best texts, ties of texts by their smallest
+    id: a text beyond those has k better records before its own first one."""
+    ship(queries.sparkSession)
+    own = lambda d: d.filter("country is not null").select(F.col("entity_id").cast("string").alias("id"), F.col("country").cast("string").alias("country"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = F.concat(F.length("country").cast("string"), F.lit(":"), F.col("country"), F.col("text"))
+    q, t = own(queries).withColumn("of", shared), own(targets)
+    least = t.withColumn("_r", F.row_number().over(Window.partitionBy("country", "text").orderBy("id"))).filter(F.col("_r") <= k)
+    least = least.groupBy("country", "text").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.concat(F.get("ids", F.lit(0)), F.lit("\0"), shared))
+    least = written(least, "texts")
+    asked = q.select("country", "text", F.col("of").alias("id")).distinct()
+    near = _ranked(_blocked(embed(asked, "text", encoder, "id"), embed(least, "text", encoder, "id"), ["country"], k, block), k).drop("rk")
+    near = near.join(least.select(F.col("id").alias("s1_id"), "ids"), "s1_id").select("cand_id", F.explode("ids").alias("s1_id"), "cos")
+    near = written(_ranked(near, k).select(F.col("cand_id").alias("of"), "s1_id", "cos"), "near")
+    return _ranked(q.select("of", F.col("id").alias("cand_id")).join(near, "of").select("cand_id", "s1_id", "cos"), k)
+
+
 def pruned_top(queries: DataFrame, targets: DataFrame, k: int = 2, pivots: int = 256, block: int = BLOCK) -> DataFrame:
     """The rows of top2, without comparing what cannot be among them.
 

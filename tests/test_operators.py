@@ -474,6 +474,28 @@ def test_a_block_gives_its_best_pairs_whatever_the_chunks(monkeypatch, cells):
     assert sorted(every) == sorted(scores)
 
 
+def test_top_of_texts_equals_top_of_records_and_encodes_a_text_once(spark, tmp_path):
+    names = [None, "", "hot bolt", "cold bolt", "bolt hot", "tlob", "hot plate"]
+    rows = [(i, f"land {i % 2}" if i % 17 else None, names[i * i % 7]) for i in range(120)] + [(3, "land 0", "hot bolt"), (4, "land 1", "hot bolt")]
+    d = spark.createDataFrame(rows, "entity_id long, country string, text string")
+    q, t = d.filter("entity_id % 3 <> 0"), d.filter("entity_id % 3 = 0")
+    log, encode = str(tmp_path), retrieval.hashed_ngrams(32)
+
+    def counted(texts):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return encode(texts)
+
+    key = lambda d: sorted((r["cand_id"], r["rk"], r["s1_id"], round(r["cos"], 8)) for r in d.collect())
+    for k in (1, 2, 5):
+        want = key(retrieval.top2(retrieval.embed(q, "text", encode), retrieval.embed(t, "text", encode), k))
+        assert key(retrieval.top2_of_texts(q, t, encode, k)) == want
+    found = retrieval.top2_of_texts(q, t, counted).count()
+    assert found and sum(int(p.read_text()) for p in tmp_path.iterdir()) < len(rows)
+
+
 def test_model_queries_use_the_operators_defaults(spark, monkeypatch):
     seen = {}
 
