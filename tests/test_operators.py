@@ -496,6 +496,25 @@ def test_top_of_texts_equals_top_of_records_and_encodes_a_text_once(spark, tmp_p
     assert found and sum(int(p.read_text()) for p in tmp_path.iterdir()) < len(rows)
 
 
+def test_owner_ranker_scores_one_table_without_a_join(spark):
+    rows = [(s, c, int(s == c % 5), float((s * c) % 7) if s else None) for c in range(40) for s in range(5)]
+    got = model.owner_ranker(spark.createDataFrame(rows, "s1_id long, cand_id long, label int, x double"), ["x"])
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["s1_id"], r["cand_id"], r["label"], r["x"]) for r in got.collect()} == set(rows)
+
+
+def test_pair_scores_hash_trigrams_once_for_both_models(spark):
+    rows = [(i, i + 100, i % 2 if i % 5 else None, int(i % 3 == 0), f"hot bolt {i % 3}", f"bolt {i % 4}") for i in range(30)]
+    d = spark.createDataFrame(rows, "s1_id long, cand_id long, fold int, label int, text_a string, text_b string")
+    models = model.fit_pair_scorer(d, 64)
+    got = model.score_pair_folds(models, d)
+    one = [{r["s1_id"]: float(r["_r"][1]) for r in m.transform(model._with_ngrams(d)).select("s1_id", "_r").collect()} for m in models]
+    for r in got.collect():
+        i = r["s1_id"]
+        assert r["ce_logit"] == pytest.approx({0: one[1][i], 1: one[0][i]}.get(r["fold"], (one[0][i] + one[1][i]) / 2))
+    assert got.columns == [*d.columns, "ce_logit"] and got._jdf.queryExecution().analyzed().toString().count(" AS _x#") == 1
+
+
 def test_model_queries_use_the_operators_defaults(spark, monkeypatch):
     seen = {}
 
